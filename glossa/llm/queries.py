@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import linededup, mixing, quality
+from glossa.llm import bpe, linededup, mixing, quality, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,10 +15,18 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(_read(spark, sf_dir, "documents"))
 
 
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_read(spark, sf_dir, "documents"))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.binary_output(_read(spark, sf_dir, "documents"))
+
+
 def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.quality_filter(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return kept.select("doc_id", "lang", "source", "quality_prob")
@@ -26,7 +34,9 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_dedup": line_dedup,
+    "op3_byte_bpe": byte_bpe,
     "op5_mix_sources": mix_sources,
+    "op8_token_output": token_output,
     "op10_quality_filter": quality_filter,
 }
 

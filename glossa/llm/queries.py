@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, linededup, mixing, quality, tokenfile
+from glossa.llm import bpe, linededup, mixing, quality, suffixdedup, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(_read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup,
     "op2_line_dedup": line_dedup,
     "op3_byte_bpe": byte_bpe,
     "op5_mix_sources": mix_sources,

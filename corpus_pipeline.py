@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import linededup, mixing, quality, runtime
+from glossa.llm import bpe, linededup, mixing, ngramjoin, quality, runtime
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +22,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, stays of each group that the n-gram join connects."""
+    return ngramjoin.keep_one(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in equal shares of characters; a repeated document is a repeated row."""
     return mixing.mix(docs, copy_no=None)
 
 
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids, and whether they decode to the text again."""
+    return bpe.encode(docs, keep=("doc_id", "lang", "source"))
+
+
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
     ("mixing sources", mix_stage),
+    ("byte-level BPE", bpe_stage),
 ]
 
 #: The classifier is a fitted network, which SQL cannot express; tests hold every stage against brute force.

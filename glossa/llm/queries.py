@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, linededup, mixing, quality, suffixdedup, tokenfile
+from glossa.llm import bpe, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.binary_output(_read(spark, sf_dir, "documents"))
 
 
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.quality_filter(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return kept.select("doc_id", "lang", "source", "quality_prob")
@@ -42,10 +46,12 @@ QUERIES = {
     "op3_byte_bpe": byte_bpe,
     "op5_mix_sources": mix_sources,
     "op8_token_output": token_output,
+    "op9_ngram_join": ngram_join,
     "op10_quality_filter": quality_filter,
 }
 
 ORACLES = {
     "op2_line_dedup": linededup.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op9_ngram_join": ngramjoin.ORACLE_SQL,
 }

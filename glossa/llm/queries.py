@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile
+from glossa.llm import bpe, fingerprint, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"))
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(_read(spark, sf_dir, "documents"))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_suffix_dedup": suffix_dedup,
     "op2_line_dedup": line_dedup,
     "op3_byte_bpe": byte_bpe,
+    "op4_fingerprints": fingerprints,
     "op5_mix_sources": mix_sources,
     "op8_token_output": token_output,
     "op9_ngram_join": ngram_join,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, fingerprint, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile
+from glossa.llm import bpe, fingerprint, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_filter(_read(spark, sf_dir, "pages"))
+
+
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.binary_output(_read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_byte_bpe": byte_bpe,
     "op4_fingerprints": fingerprints,
     "op5_mix_sources": mix_sources,
+    "op6_url_filter": url_filter,
     "op8_token_output": token_output,
     "op9_ngram_join": ngram_join,
     "op10_quality_filter": quality_filter,
@@ -58,5 +63,6 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": linededup.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op6_url_filter": urlfilter.oracle_sql(),
     "op9_ngram_join": ngramjoin.ORACLE_SQL,
 }

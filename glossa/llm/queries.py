@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, fingerprint, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile, urlfilter
+from glossa.llm import bpe, fingerprint, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile, topk, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_filter(_read(spark, sf_dir, "pages"))
 
 
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.binary_output(_read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints,
     "op5_mix_sources": mix_sources,
     "op6_url_filter": url_filter,
+    "op7_top_k": exact_top_k,
     "op8_token_output": token_output,
     "op9_ngram_join": ngram_join,
     "op10_quality_filter": quality_filter,
@@ -64,5 +69,6 @@ ORACLES = {
     "op2_line_dedup": linededup.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op6_url_filter": urlfilter.oracle_sql(),
+    "op7_top_k": topk.ORACLE_SQL,
     "op9_ngram_join": ngramjoin.ORACLE_SQL,
 }

@@ -107,12 +107,12 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY,
         context = TaskContext.get()
         name = f"part-{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex[:12]}.zst"
         encoder, writer, stream = bpe.encoder_for(ranks.value), None, None
-        for batch in batches:
+        for batch in runtime.parts(batches, 2048):
             ids, first = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             if writer is None:
                 system, path = _open(folder)
                 system.create_dir(path, recursive=True)
-                stream = system.open_output_stream(f"{path}/{name}")
+                stream = system.open_output_stream(f"{path}/{name}", compression=None)  # by its name it would be compressed again
                 writer = Writer(stream, level)
             packed = memoryview(ids.astype(f"<u{width}").tobytes())
             at = (first * width).tolist()

@@ -1,0 +1,114 @@
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from glossa.llm import ngramjoin as J
+
+
+def grams(text, n=3):
+    w = (text or "").split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def brute(rows, threshold=J.THRESHOLD):
+    best = {}
+    for (a, x), (b, y) in combinations(rows, 2):
+        if a is not None and b is not None and a != b:
+            s, t = grams(x), grams(y)
+            if s and t and len(s & t) >= threshold * len(s | t) - 1e-12:
+                key = (min(a, b), max(a, b))
+                best[key] = max(best.get(key, 0), len(s & t) / len(s | t))
+    return best
+
+
+def corpus(seed, n=120):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    line = " ".join(rnd.choices(words, k=12))
+    rows, texts = [(900, None), (901, ""), (None, "some words here"), (902, "one two"), (903, "one two"), (904, "one")], []
+    for d in range(n):
+        if texts and rnd.random() < 0.5:
+            w = rnd.choice(texts).split()
+            for _ in range(rnd.randint(0, max(1, len(w) // 12))):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+        else:
+            w = rnd.choices(words, k=rnd.choice([3, 5, 20, 80, 300, 900]))
+            if rnd.random() < 0.3:
+                w += line.split()
+        texts.append(" ".join(w))
+        rows.append((d, texts[-1]))
+    rows += [rows[8], (905, rows[9][1]), (906, rows[9][1])]
+    return rows
+
+
+def test_divide_skip_is_exact():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        base = rng.integers(0, 200, 30)
+        sets = []
+        for _ in range(rng.integers(1, 25)):
+            s = base.copy()
+            change = rng.integers(0, 20)
+            s[:change] = rng.integers(0, 200, change)
+            sets.append(np.unique(s[: rng.integers(1, 31)]).astype(np.uint64))
+        t = rng.choice([0.3, 0.5, 0.8, 1.0])
+        got = {(i, j): o for i, j, o in J.divide_skip(sets, t)}
+        want = {}
+        for i, j in combinations(range(len(sets)), 2):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if o >= t * (len(sets[i]) + len(sets[j]) - o) - 1e-9:
+                want[i, j] = o
+        assert got == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_against_all_pairs(spark, seed):
+    rows = corpus(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS key", "0 AS rep")
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_join(docs).collect()}
+    want = brute(rows)
+    assert set(got) <= set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in got)
+    assert len(got) >= 0.97 * len(want)
+    assert {p for p, s in want.items() if s > 0.6} <= set(got)
+
+
+def test_one_of_each_group_stays(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _last string")
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in sorted({(r.doc_a, r.doc_b) for r in J.jaccard_join(docs).collect()}):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or -1), r.text or "") for r in kept.collect()) == sorted((d or -1, t or "") for d, t in rows if d is None or root(d) == d)
+
+
+def test_components(spark):
+    rnd = random.Random(1)
+    pairs = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(35)} | {(i, i + 1) for i in range(100, 130)}
+    parent = {i: i for p in pairs for i in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r.rep: r.root for r in J.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert got == {i: root(i) for i in parent}
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert J.jaccard_join(docs).count() == 0 and J.keep_one(docs).count() == 0

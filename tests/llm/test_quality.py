@@ -1,0 +1,62 @@
+import random
+
+import numpy as np
+import pytest
+
+from glossa.llm import quality as Q
+
+
+def made(seed, n):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices(["ta", "ri", "no", "shi", "el"], k=rnd.randint(1, 4))) for _ in range(300)]
+    texts, labels = [], []
+    for _ in range(n):
+        good = rnd.random() < 0.7
+        w = rnd.choices(words, k=rnd.randint(20, 120))
+        kind = rnd.randrange(3)
+        if not good:
+            w = [x.upper() + "!!" for x in w] if kind == 0 else [x + rnd.choice(["***", "$$$", "###"]) for x in w] if kind == 1 else w[:4] * 25
+        texts.append(" ".join(w))
+        labels.append(int(good))
+    return texts, np.array(labels)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return Q.fit(*made(1, 700))
+
+
+def test_held_out_accuracy_and_calibration(model):
+    texts, labels = made(2, 500)
+    p = model.probability(texts)
+    assert ((p >= 0.5) == labels).mean() > 0.93
+    assert (p[labels == 1] >= 0.5).mean() > 0.98
+    loss = -np.mean(np.log(np.where(labels == 1, p, 1 - p) + 1e-12))
+    assert loss < 0.25
+
+
+def test_pooling_does_not_depend_on_the_batch(model):
+    texts = ["", "one", "one one", "x " * 200_000, "É è !! 12", None and "" or ""]
+    whole = model.probability(texts)
+    assert np.allclose(whole, [model.probability([t])[0] for t in texts], atol=1e-6)
+    assert np.array_equal(whole, model.probability(texts)) and len(model.probability([])) == 0
+
+
+def test_one_class_rejects_nothing():
+    assert (Q.fit(["a b", "c"], np.array([1, 1])).probability(["junk!!", ""]) == 1).all()
+
+
+def test_tables(spark):
+    texts, labels = made(3, 300)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(1000, None, 1), (None, "", 2), (0, texts[0], 3)], "doc_id long, text string, label int")
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)] + [(None, 1), (5, None), (7, int(labels[7])), (9999, 0)], "doc_id long, quality int")
+    kept = Q.quality_filter(docs, marks, max_fit_docs=250)
+    assert kept.columns == ["doc_id", "text", "label", "quality_prob"]
+    ids = {r.doc_id for r in kept.collect()}
+    good = {i for i, y in enumerate(labels) if y}
+    assert len(ids & good) >= 0.97 * len(good) and len(ids & (set(range(300)) - good)) <= 0.1 * (300 - len(good))
+    assert Q.scored(docs, Q.fit_from(docs, marks, max_fit_docs=250)).count() == 303
+    assert Q.quality_filter(docs, marks.limit(0)).count() == 303
+    assert Q.quality_filter(docs.limit(0), marks).count() == 0
+    with pytest.raises(ValueError):
+        Q.quality_filter(docs, marks, output="label")

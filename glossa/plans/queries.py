@@ -54,10 +54,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     for c in columns:
         x = F.col(c)
-        df = df.withColumn(c, F.when(F.isnan(x), None).otherwise(F.round(x, 6) + F.lit(0.0)))
+        df = df.withColumn(c, F.when(F.isnan(x), None).otherwise(F.round(x, digits) + F.lit(0.0)))
     return df
 
 
@@ -399,14 +399,14 @@ def ri_partial_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(model.components(), "value")
 
 
-@query(f"WITH {_COUNTS}, {_COMPS}, {_DOC_SIGNS}, {_CONTEXTS}, {_REFLECT} {_COMPONENTS} c1")
+@query(f"WITH {_COUNTS}, {_COMPS}, {_DOC_SIGNS}, {_CONTEXTS}, {_REFLECT} {_COMPONENTS.replace("6)", "3)")} c1")
 def rri_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(RandomIndexing(K, DENSITY, reflections=1, seed=SEED).fit(_counts(spark, sf_dir)).components(), "value")
+    return rounded(RandomIndexing(K, DENSITY, reflections=1, seed=SEED).fit(_counts(spark, sf_dir)).components(), "value", digits=3)
 
 
-@query(f"WITH {_COUNTS}, {_COMPS}, {_TERM_SIGNS}, c0 AS (SELECT term_idx, comp, sign AS value FROM g WHERE sign <> 0), {_REFLECT} {_COMPONENTS} c1")
+@query(f"WITH {_COUNTS}, {_COMPS}, {_TERM_SIGNS}, c0 AS (SELECT term_idx, comp, sign AS value FROM g WHERE sign <> 0), {_REFLECT} {_COMPONENTS.replace("6)", "3)")} c1")
 def rri_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(RandomIndexing(K, DENSITY, TERM_BASED, 1, SEED).fit(_counts(spark, sf_dir)).components(), "value")
+    return rounded(RandomIndexing(K, DENSITY, TERM_BASED, 1, SEED).fit(_counts(spark, sf_dir)).components(), "value", digits=3)
 
 
 @query(

@@ -9,7 +9,8 @@ last sign then stands for all the rest).
 Two fingerprints compare where a block size is common to them: 100 * (1 - edit distance / longer length), rounded down, the
 best of the common sizes; runs of one sign count three at most, and signatures without a common 7-gram score 0.
 ``compared`` finds every document's best partner: equal fingerprints are one, candidates share a 7-gram at the same block
-size, and the edit distance of each candidate pair is computed in the JVM. No candidate is capped.
+size, and the edit distance of each candidate pair is computed once a common run, by bit vectors over many pairs at a time. No
+candidate is capped; the pairs of a passage that n documents share are n * n / 2, cut into groups for many tasks.
 
 Rolling and chunk hashes are numpy passes over whole texts in one mapInArrow without a shuffle; only fingerprints and
 7-gram hashes are shuffled for the comparison.
@@ -34,6 +35,7 @@ from glossa.llm import runtime, textops
 WINDOW, LONG, LEAST_BLOCK = 7, 64, 3
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 GRAM = 7
+GROUP, PAIRS = 2048, 1 << 18
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -123,6 +125,101 @@ def score(a: Column, b: Column) -> Column:
     return F.greatest(*best).cast("int")
 
 
+def edit_distances(a: np.ndarray, size_a: np.ndarray, masks_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of pairs of signatures, all pairs side by side, by bit vectors of one word.
+
+    ``a`` numbers the rows of ``masks_a`` (``_masks``), ``b`` holds codes; both sizes are at most 64.
+    """
+    one = np.uint64(1)
+    top = one << (np.maximum(size_a, 1) - 1).astype(np.uint64)
+    up, down, score = np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64), size_a.astype(np.int64)
+    for j in range(int(size_b.max()) if len(b) else 0):
+        live = size_b > j
+        eq = masks_a[a, b[:, j]]
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(h | up), up & h
+        score += ((plus & top) != 0) & live
+        score -= ((minus & top) != 0) & live
+        plus, minus = (plus << one) | one, minus << one
+        up, down = minus | ~(v | plus), plus & v
+    return np.where(size_a == 0, size_b, score)
+
+
+def _codes(signs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes 1 to 64 by place, 0 beyond the end; sizes)."""
+    size = np.array([len(s) for s in signs], np.int64)
+    flat = np.frombuffer("".join(s.ljust(LONG, "\0") for s in signs).encode(), np.uint8).reshape(-1, LONG)
+    table = np.zeros(256, np.uint8)
+    table[ALPHABET] = np.arange(1, 65)
+    return table[flat], size
+
+
+def _masks(codes: np.ndarray) -> np.ndarray:
+    """For each signature and code, the places where the code stands, as bits."""
+    out = np.zeros((len(codes), 65), np.uint64)
+    for j in range(LONG):
+        np.bitwise_or.at(out, (np.arange(len(codes)), codes[:, j]), np.uint64(1) << np.uint64(j))
+    out[:, 0] = 0
+    return out
+
+
+def _best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares all pairs of each group (rows sorted by key, low, high); gives each row's best partner of the batch."""
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        key, low, high, own, rep, pos = (table.column(i).to_numpy() for i in range(6))
+        unique = table.column(6).combine_chunks().dictionary_encode()
+        codes, size = _codes(unique.dictionary.to_pylist())
+        masks, sign = _masks(codes), unique.indices.to_numpy()
+        before = np.where(pos > 0, codes[sign, np.maximum(pos - 1, 0)], 0)
+        new = np.append(True, (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        group = np.cumsum(new) - 1
+        end = np.append(np.flatnonzero(new)[1:], len(key))[group]
+        count = end - np.arange(len(key)) - 1
+        found = [np.zeros((3, 0), np.int64)]
+        done, total = 0, np.cumsum(count)
+        while done < len(key):
+            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, side="right")))
+            c = count[done:stop]
+            x = np.repeat(np.arange(done, stop), c)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + x + 1
+            done = stop
+            # a common run is met at each of its 7-grams: it counts where it starts
+            starts = (before[x] != before[y]) | (before[x] == 0)
+            keep = starts & (rep[x] != rep[y]) & ((low[x] == high[x]) | (own[x] != own[y]))
+            x, y = x[keep], y[keep]
+            if not len(x):
+                continue
+            longer = np.maximum(size[sign[x]], size[sign[y]])
+            d = edit_distances(sign[x], size[sign[x]], masks, codes[sign[y]], size[sign[y]])
+            score = (100 * longer - 100 * d) // longer
+            x, y, score = rep[x][score > 0], rep[y][score > 0], score[score > 0]
+            both = np.array([np.append(x, y), np.append(score, score), np.append(y, x)])
+            found.append(_first_best(both))
+        rows = _first_best(np.concatenate(found, axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], names=["rep", "score", "id"])
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        k = np.column_stack([table.column(i).to_numpy() for i in range(3)])
+        last = int(np.flatnonzero((k != k[-1]).any(1)).max(initial=-1)) + 1  # the last group may go on in the next batch
+        rest = table.slice(last)
+        if last:
+            yield solve(table.slice(0, last))
+    if rest is not None and len(rest):
+        yield solve(rest)
+
+
+def _first_best(rows: np.ndarray) -> np.ndarray:
+    """Of rows (document, score, partner), each document's with the highest score, the least partner among equals."""
+    sort = np.lexsort((rows[2], -rows[1], rows[0]))
+    rows = rows[:, sort]
+    return rows[:, np.append(True, rows[0, 1:] != rows[0, :-1])[: rows.shape[1]]]
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, match_id, score)``: each document's best partner, null where none scores above 0."""
     prints = runtime.written(fingerprint(docs), "fingerprints")
@@ -130,15 +227,16 @@ def compared(docs: DataFrame) -> DataFrame:
     groups = known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     groups = runtime.written(groups, "groups")
     signs = groups.select("rep", F.explode(signatures(F.col("fingerprint"))).alias("s")).select("rep", "s.block", "s.sign")
-    grams = signs.select(F.explode(F.array_distinct(_grams(F.col("sign")))).alias("g"), "rep", "block")
-    keyed = grams.select(F.xxhash64("block", "g").alias("key"), "rep", "block")
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    lists = runtime.written(shared.join(signs, ["rep", "block"]), "lists")
-    side = lambda x: lists.select("key", F.col("rep").alias(x), F.col("sign").alias(f"sign_{x}"))
-    # A key implies its block size and a common 7-gram; what leaves a task is one best partner a document.
-    scored = side("a").join(side("b"), "key").where("a < b").withColumn("score", similarity(F.col("sign_a"), F.col("sign_b"))).where("score > 0")
-    way = lambda x, y: F.struct(F.col(x).alias("rep"), F.struct(F.col("score"), (-F.col(y)).alias("id")).alias("m"))
-    best = scored.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select("w.*").groupBy("rep").agg(F.max("m").alias("m"))
+    at = F.posexplode(_grams(F.col("sign"))).alias("pos", "g")
+    keyed = signs.select(at, "rep", "block").select(F.xxhash64("block", "g").alias("key"), "pos", "rep", "block")
+    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # A list longer than GROUP is cut into parts, and every two of its parts are a group: no task holds a whole hot list.
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    cut = counted.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "block", "pos")
+    rows = cut.join(signs, ["rep", "block"]).select("key", "low", "high", "own", "rep", "pos", "sign")
+    groups_in = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    best = groups_in.mapInArrow(_best_rows, "rep long, score int, id long").groupBy("rep").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("m"))
     # the least document of the best equal fingerprint, or of one's own
     second = known.join(groups.where("rep < last"), "fingerprint").where("doc_id > rep").groupBy("rep").agg(F.min("doc_id").alias("second"))
     plan = groups.join(best, "rep", "left").join(second, "rep", "left").select("fingerprint", "rep", "second", "m")

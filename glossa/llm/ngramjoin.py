@@ -10,12 +10,14 @@ A cluster cannot hold the lists of a corpus in one place, so documents first go
 2. Each set is sampled by n-gram hash, at a rate by powers of two that leaves 32 to 63 n-grams; sets up to 63 are whole.
    Documents of similar size share a level of sampling. T-occurrence over the samples uses the rarest-first prefix: a partner
    shares one of the m - T + 1 rarest of m sampled n-grams, and of those only the ones that occur twice are joined.
-   A pair whose samples overlap enough is an edge. T allows ``Z`` standard deviations of sampling; for unsampled sets it is
-   exact. Recall at the threshold itself is above 0.97, and above 0.999 from 0.1 above it (the only approximation).
+   A pair whose samples overlap enough is an edge. T and that overlap allow for chance in sampling (``Z``, ``Z_PAIR``
+   standard deviations); for unsampled sets they are exact. This is the only approximation: pairs at the very threshold where one set
+   holds the other are found with a probability of 0.9, pairs of equal sizes or 0.1 above it with more than 0.99.
 3. Connected components of the edges, by alternating large-star and small-star steps on written tables, are the blocks; each
    document's whole set goes once to its block, where the search above runs over whole inverted lists.
 
-Nothing is broadcast, and no list, partner or candidate is capped. Text is shuffled once, by doc_id.
+No list, partner or candidate is capped. Text is shuffled once, by doc_id, unless the counted size of the list of documents that
+have an edge lets that be broadcast.
 
 A word is a run of characters other than white space; a text of fewer than n words has its words as its only n-gram.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from glossa.llm import runtime, textops
 
 N, THRESHOLD = 3, 0.5
-SAMPLE_BITS, Z, SKIP_MU = 5, 2.5, 0.1
+SAMPLE_BITS, Z, Z_PAIR, SKIP_MU = 5, 1.3, 2.5, 0.1
 
 
 # ---- sets and samples -----------------------------------------------------------------------------------------
@@ -63,7 +65,7 @@ def _sketch_rows(n: int):
     names = ["doc_id", "key_a", "key_b", "size", "level", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runtime.parts(batches):
             ids, rows = batch.column(0).to_pylist(), []
             for d, s in zip(ids, gram_sets(batch.column(1).to_pylist(), n)):
                 if len(s):
@@ -98,7 +100,8 @@ def _edges(reps: DataFrame, threshold: float) -> DataFrame:
     levels = levels.select("rep", "lv", _at(F.col("grams"), F.col("lv")).alias("own"))
     # one number holds an n-gram and its level
     key = F.explode(F.transform("own", lambda g: g.bitwiseAND(F.lit(~63)).bitwiseOR(F.col("lv").cast("long")))).alias("key")
-    postings = runtime.written(levels.select("rep", key), "postings")
+    # Counts and lists come from one exchange by key.
+    postings = levels.select("rep", key).repartition("key")
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     lists = postings.join(shared, "key").groupBy("rep", F.col("key").bitwiseAND(63).cast("int").alias("lv"))
     lists = lists.agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rare"))
@@ -107,14 +110,24 @@ def _edges(reps: DataFrame, threshold: float) -> DataFrame:
     prefix = lists.join(sizes, ["rep", "lv"]).select("rep", F.explode(F.slice("rare", 1, F.greatest(F.lit(0), used))).alias("x")).select("rep", "x.key")
     prefix = runtime.written(prefix, "prefixes")
     pairs = prefix.select("key", F.col("rep").alias("a")).join(prefix.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.struct("size", "level", "grams").alias(f"of_{x}"))
+    # Two bytes of each n-gram are enough to count common ones here: codes that meet by chance add to the
+    # count, or in one set take one from it.
+    code = lambda level: F.transform(_at(F.col("grams"), level), lambda g: (F.pmod(F.shiftright(g, 40), F.lit(65536)) - 32768).cast("short"))
+    coded = runtime.written(reps.select("rep", "size", "level", code(F.col("level")).alias("own"), code(F.col("level") + 1).alias("next")), "codes")
+    side = lambda x: coded.select(F.col("rep").alias(x), F.struct("size", "level", "own", "next").alias(f"of_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    lv = F.greatest("of_a.level", "of_b.level")
-    both = both.where((F.least("of_a.size", "of_b.size") >= threshold * F.greatest("of_a.size", "of_b.size") - 1e-9))
-    both = both.select("a", "b", lv.alias("lv"), _at(F.col("of_a.grams"), lv).alias("x"), _at(F.col("of_b.grams"), lv).alias("y"))
-    # the overlap is at least the threshold's share of the larger set
-    need = _required(F.greatest(F.size("x"), F.size("y")), F.col("lv"), threshold)
-    return both.where(F.size(F.array_intersect("x", "y")) >= need).select("a", "b")
+    x, y = F.col("of_a"), F.col("of_b")
+    at_one_level = [
+        F.when(x["level"] == y["level"], F.size(F.array_intersect(x["own"], y["own"]))),
+        F.when(x["level"] + 1 == y["level"], F.size(F.array_intersect(x["next"], y["own"]))),
+        F.when(x["level"] == y["level"] + 1, F.size(F.array_intersect(x["own"], y["next"]))),
+    ]
+    overlap, lv = F.coalesce(*at_one_level, F.lit(-1)), F.greatest(x["level"], y["level"])
+    # a similarity of t is an overlap of t / (1 + t) of both sizes; a sample holds its share of that, within chance
+    least = (x["size"] + y["size"]) * (threshold / (1 + threshold))
+    share = least / F.call_function("shiftleft", F.lit(1), lv)
+    alike = F.when(lv == 0, overlap >= least - 1 - 1e-9).otherwise(overlap >= share - Z_PAIR * F.sqrt(share / 2))
+    return both.where(alike).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,6 +218,7 @@ def _blocks(n: int, solve: Callable[[list[int], list[np.ndarray]], list[tuple]],
 
 def _solved(docs: DataFrame, n: int, threshold: float, solve: Callable, schema: pa.Schema, sql_schema: str) -> tuple[DataFrame, DataFrame]:
     """(``members``: rep and doc_id of documents with equal sets, result of ``solve`` over the blocks of representatives)."""
+    runtime.small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     sketches = runtime.written(texts.mapInArrow(_sketch_rows(n), "doc_id long, key_a long, key_b long, size int, level int, grams array<long>"), "sketches")
     least = sketches.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"))
@@ -214,10 +228,11 @@ def _solved(docs: DataFrame, n: int, threshold: float, solve: Callable, schema:
     roots = runtime.written(components(_edges(reps, threshold)), "roots")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runtime.parts(batches):
             sets = [s.tobytes() for s in gram_sets(batch.column(2).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "rep", "grams"])
 
+    roots = runtime.small_side(roots, 16)  # without a shuffle of the texts while the list of documents is small
     sets = texts.join(roots.withColumnRenamed("rep", "doc_id"), "doc_id").select("root", "doc_id", "text").mapInArrow(full, "root long, rep long, grams binary")
     blocks = sets.repartition("root").sortWithinPartitions("root")
     return members, blocks.mapInArrow(_blocks(n, solve, schema), sql_schema)

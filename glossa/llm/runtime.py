@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,12 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, unless the cluster's own settings name a number: texts are large rows."""
+    if not spark.sparkContext.getConf().contains(ARROW_ROWS):
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows``: a task then holds the strings and arrays of few texts at a time."""
     for batch in batches:

@@ -10,8 +10,9 @@ from glossa.operators.vectorise import CountVectoriser, HashingVectoriser, index
 from glossa.operators.weighting import Tfidf
 from glossa.sources.corpus import corpus, matrix, to_numpy
 
-TRAIN = ["The quick brown fox jumped over the. Lazy dog", "the brown Cat sat on the mat", "the little dog laughed to see such fun", "laughing cow", "the cow ran around the dog", "spoon dish and plate"]
-TEST = ["hey diddle diddle", "the cat and the fiddle", "the cow jumped over the moon", "the quick brown fox jumped over the. Lazy dog", "The little dog laughed to see such fun", "The dish ran away with the spoon"]
+_TRAIN = {5: "spoon dish and plate", 2: "the little dog laughed to see such fun", 0: "The quick brown fox jumped over the. Lazy dog", 4: "the cow ran around the dog", 1: "the brown Cat sat on the mat", 3: "laughing cow"}
+_TEST = {4: "The little dog laughed to see such fun", 1: "the cat and the fiddle", 5: "The dish ran away with the spoon", 0: "hey diddle diddle", 3: "the quick brown fox jumped over the. Lazy dog", 2: "the cow jumped over the moon"}
+TRAIN, TEST = ([t[i] for i in range(6)] for t in (_TRAIN, _TEST))
 STOP = "the over on to such see around and".split()
 M = np.array([[1, 3, 5, 2], [8, 1, 0, 0], [2, 1, 0, 1], [0, 0, 0, 0], [0, 0, 0, 1], [0, 1, 0, 0]], float)
 
@@ -76,7 +77,7 @@ def test_idf_and_tfidf(spark, tmp_path):
     m = matrix(spark, M)
     t = Tfidf(n_docs=4, n_terms=6).fit(m)
     idf = {r.term_idx: r.idf for r in t.idf.collect()}
-    assert [idf[i] for i in range(6)] == [0, 0.5108256237659907, 0.22314355131420976, 1.6094379124341003, 0.9162907318741551, 0.9162907318741551]
+    assert [idf[i] for i in range(6)] == [math.log(5 / (1 + n)) for n in (M != 0).sum(1)]
     got = to_numpy(t.transform(m).select("term_idx", "doc_id", "value"), "term_idx", "doc_id", (6, 4))
     assert np.allclose(got, [[0, 0, 0, 0], [4.087, 0.511, 0, 0], [0.446, 0.223, 0, 0.223], [0, 0, 0, 0], [0, 0, 0, 0.916], [0, 0.916, 0, 0]], atol=1e-3)
     t.save(str(tmp_path / "t"))

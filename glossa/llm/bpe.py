@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm import textops
+from glossa.llm import runtime, textops
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MEMO_PIECES = 1 << 20
+MEMO_PIECES, MEMO_PAIRS = 1 << 20, 1 << 17
 _APOSTROPHE = ord("'")
 
 
@@ -226,14 +226,22 @@ class Encoder:
         self.token_bytes = pa.array([self.bpe.bytes_of.get(r, b"") for r in range(order[-1] + 1)], pa.large_binary())
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.size = np.zeros(1 << 12, np.int64)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.int32), 0
+        # Piece hashes in order and the slot of each: arrays, for a dictionary would take ten times their memory.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.size, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the known keys, whether it is one)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
     def _add(self, new: dict[int, bytes]) -> None:
         """Encodes new pieces in the order of their bytes: a piece begins with the table of what it shares with the last one."""
         bpe, before, last = self.bpe, b"", []
+        keys, sizes, flat = [], [], []
         for piece, key in sorted((b, k) for k, b in new.items()):
             shared, most = 0, min(len(piece), len(before))
             while shared < most and piece[shared] == before[shared]:
@@ -241,19 +249,25 @@ class Encoder:
             del last[shared:]
             bpe.extend(piece, last, len(piece))
             before, ids = piece, bpe.tokens(last)
-            i = self.slot[key] = len(self.slot)
-            if i == len(self.size):
-                self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.size[i], self.start[i] = len(ids), self.used
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+            keys.append(key)
+            sizes.append(len(ids))
+            flat += ids
+        sizes = np.array(sizes, np.int64)
+        added = np.array(keys, np.uint64)
+        order = np.argsort(added)
+        at = np.searchsorted(self.keys, added[order])
+        self.keys = np.insert(self.keys, at, added[order])
+        self.slots = np.insert(self.slots, at, (len(self.size) + order).astype(np.int32))
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.flat = np.append(self.flat, np.array(flat, np.int32))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the n+1 offsets of the texts in them."""
-        if len(self.slot) > MEMO_PIECES:
+        if len(self.keys) > MEMO_PIECES:
             self._clear()
+        if len(self.bpe._apart) > MEMO_PAIRS:
+            self.bpe._apart.clear()
         groups, new = [], {}
         for _, group in textops.slices(texts):
             cps, offsets = textops.codepoints(group)
@@ -261,17 +275,18 @@ class Encoder:
             ends = np.append(starts[1:], len(cps))
             h = textops.run_hash(textops.prefix_hash(cps), starts, ends)
             keys, at, which = np.unique(h, return_index=True, return_inverse=True)
-            keys = keys.tolist()
-            unseen = [j for j, k in enumerate(keys) if k not in self.slot and k not in new]
-            if unseen:
+            unseen = np.flatnonzero(~self._known(keys)[1])
+            if len(unseen):
                 joined = "".join(group)
-                for j, a, b in zip(unseen, starts[at[unseen]].tolist(), ends[at[unseen]].tolist()):
-                    new[keys[j]] = joined[a:b].encode("utf-8", "surrogatepass")
+                for key, a, b in zip(keys[unseen].tolist(), starts[at[unseen]].tolist(), ends[at[unseen]].tolist()):
+                    if key not in new:
+                        new[key] = joined[a:b].encode("utf-8", "surrogatepass")
             groups.append((keys, which.astype(np.int32), np.searchsorted(starts, offsets)))
-        self._add(new)
+        if new:
+            self._add(new)
         ids, firsts, total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
         for keys, which, first in groups:
-            own = np.array([self.slot[k] for k in keys], np.int64)[which]
+            own = self.slots[self._known(keys)[0]][which] if len(keys) else np.zeros(0, np.int32)
             size = self.size[own]
             done = np.append(0, np.cumsum(size))
             ids.append(self.flat[np.arange(done[-1]) + np.repeat(self.start[own] - done[:-1], size)])
@@ -311,13 +326,14 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...]
     added = [T.StructField("tokens", T.ArrayType(T.IntegerType(), False), False), T.StructField("n_tokens", T.LongType(), False)]
     added += [T.StructField("round_trip", T.BooleanType(), False)] * check
     source = _kept(docs, list(keep), [f.name for f in added])
+    runtime.small_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     at, schema = source.columns.index("text"), T.StructType([*(source.schema[c] for c in keep), *added])
     columns = [source.columns.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(ranks.value)
-        for batch in batches:
+        for batch in runtime.parts(batches, 2048):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids, first = encoder.encode(texts)
             out = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), pa.array(np.diff(first))]
@@ -325,6 +341,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...]
                 back = encoder.decode(ids, first)
                 out.append(pa.array([b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), *out], names=schema.names)
+        runtime.release()
 
     return source.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.llm import textops
+from glossa.llm import runtime, textops
 
 DIM, WINDOW, HIDDEN = 32, 2, 32
 MAX_FIT_DOCS, THRESHOLD = 4000, 0.5
@@ -160,14 +160,16 @@ def scored(docs: DataFrame, model: Model, output: str = "quality_prob") -> DataF
     """``docs`` with the probability of good quality added as ``output``."""
     if output in docs.columns:
         raise ValueError(f"the documents already have a column {output!r}")
+    runtime.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())])
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runtime.parts(batches):
             p = shared.value.probability([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, output])
+        runtime.release()
 
     return docs.mapInArrow(score, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,6 +42,15 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the system: the worker stays for the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of ``BATCH_ROWS`` rows, unless the cluster's own settings name a number: texts are large rows."""
     if not spark.sparkContext.getConf().contains(ARROW_ROWS):

@@ -99,6 +99,7 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY, level: int = LEVEL) -> DataFrame:
     """Writes the documents' token ids under ``folder`` (a URI that all executors see) and returns the manifest."""
     spark = docs.sparkSession
+    runtime.small_batches(spark)
     table = bpe.read_ranks(vocabulary)
     width = 2 if max(table.values()) < 1 << 16 else 4
     ranks = spark.sparkContext.broadcast(table)
@@ -125,6 +126,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY,
         if writer is not None:
             writer.close()
             stream.close()
+        runtime.release()
 
     path = f"{folder.rstrip('/')}/manifest"
     docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MANIFEST).write.parquet(path)

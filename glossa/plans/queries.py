@@ -26,7 +26,7 @@ from glossa.streaming import online
 
 STOP_WORDS = ("the", "of", "and", "in", "to", "is", "that", "de", "la", "le", "et", "der", "die", "und", "que", "el")
 FEATURES, K, DENSITY, SEED = 260_000, 8, 0.25, 5
-FUNCTIONS, TABLES, NEAREST = 10, 6, 10
+FUNCTIONS, TABLES, NEAREST = 7, 100, 10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -235,12 +235,19 @@ for _name, _sql in _MEASURES.items():
 
 # ---- signatures and indexes -----------------------------------------------------------------------------------
 
-BITS = FUNCTIONS * TABLES
-_BITS = f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
-h AS (SELECT bit, i, {cells.sql_integer_planes(SEED, 'bit', 'i')} AS w FROM (SELECT unnest(range({BITS})) AS bit), (SELECT unnest(range(64)) AS i)),
+BITS = 60
+
+
+def _signed(functions: int, tables: int) -> str:
+    bits = functions * tables
+    return f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
+h AS (SELECT bit, i, {cells.sql_integer_planes(SEED, 'bit', 'i')} AS w FROM (SELECT unnest(range({bits})) AS bit), (SELECT unnest(range(64)) AS i)),
 hp AS (SELECT bit, CAST(list(w ORDER BY i) AS DOUBLE[]) AS w FROM h GROUP BY bit),
 s AS (SELECT vec_id, string_agg(CASE WHEN list_inner_product(a, w) >= 0 THEN '1' ELSE '0' END, '' ORDER BY bit) AS bits FROM e, hp GROUP BY vec_id),
-k AS (SELECT vec_id, t, substr(bits, t * {FUNCTIONS} + 1, {FUNCTIONS}) AS key FROM s, (SELECT unnest(range({TABLES})) AS t))"""
+k AS (SELECT vec_id, t, substr(bits, t * {functions} + 1, {functions}) AS key FROM s, (SELECT unnest(range({tables})) AS t))"""
+
+
+_BITS, _KEYS = _signed(10, BITS // 10), _signed(FUNCTIONS, TABLES)
 _CANDIDATES = "c AS (SELECT DISTINCT q.vec_id AS query_id, k.vec_id AS id FROM k q JOIN k USING (t, key))"
 _LCP = f"list_max(list_transform(range(0, {FUNCTIONS + 1}), lambda n: CASE WHEN substr(q.key, 1, n) = substr(k.key, 1, n) THEN n ELSE 0 END))"
 _FOREST = f"""o AS (SELECT q.vec_id AS query_id, k.vec_id AS id, max({_LCP}) AS lcp FROM k q JOIN k USING (t) GROUP BY ALL),
@@ -262,12 +269,12 @@ def _round_first(measure: measures.Measure) -> measures.Measure:
     return lambda a, b: F.round(measure(a, b), 9)
 
 
-def _hasher() -> SimHash:
-    return SimHash(BITS, 64, SEED, integer_planes=True)
+def _hasher(bits: int = BITS) -> SimHash:
+    return SimHash(bits, 64, SEED, integer_planes=True)
 
 
 def _lsh(spark: SparkSession, sf_dir: str, approx: bool, scheme) -> LSHIndex:
-    return LSHIndex(approx, _hasher(), scheme, _round_first(measures.cosine_distance)).index(vectors(spark, sf_dir))
+    return LSHIndex(approx, _hasher(FUNCTIONS * TABLES), scheme, _round_first(measures.cosine_distance)).index(vectors(spark, sf_dir))
 
 
 _CENTROIDS = _MEANS + ", q AS (SELECT label AS query_id, b FROM l)"
@@ -310,37 +317,37 @@ def srp_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("vec_id", (1 - measures.packed_hamming_distance(F.col("x"), F.col("y"), BITS)).alias("value")), "value")
 
 
-@query(f"WITH {_BITS}, {_CANDIDATES} SELECT * FROM c")
+@query(f"WITH {_KEYS}, {_CANDIDATES} SELECT * FROM c")
 def lsh_classic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lsh(spark, sf_dir, True, ClassicLSH(FUNCTIONS, TABLES)).candidates(vectors(spark, sf_dir), NEAREST)
 
 
 _PAIR_COSINE = ", p AS (SELECT query_id, id, round(1 - list_cosine_similarity(x.a, y.a), 9) AS x FROM c JOIN e x ON x.vec_id = query_id JOIN e y ON y.vec_id = id), "
-_PAIR_HAMMING = f", p AS (SELECT query_id, id, list_sum(list_transform(range(1, {BITS + 1}), lambda i: CASE WHEN x.bits[i] <> y.bits[i] THEN 1 ELSE 0 END)) / {BITS}.0 AS x FROM c JOIN s x ON x.vec_id = query_id JOIN s y ON y.vec_id = id), "
+_PAIR_HAMMING = f", p AS (SELECT query_id, id, list_sum(list_transform(range(1, {FUNCTIONS * TABLES + 1}), lambda i: CASE WHEN x.bits[i] <> y.bits[i] THEN 1 ELSE 0 END)) / {FUNCTIONS * TABLES}.0 AS x FROM c JOIN s x ON x.vec_id = query_id JOIN s y ON y.vec_id = id), "
 
 
-@query(f"WITH {_BITS}, {_CANDIDATES}{_PAIR_COSINE}{_ranked('x', 'p')}")
+@query(f"WITH {_KEYS}, {_CANDIDATES}{_PAIR_COSINE}{_ranked('x', 'p')}")
 def lsh_classic_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(_lsh(spark, sf_dir, False, ClassicLSH(FUNCTIONS, TABLES)).search(vectors(spark, sf_dir), NEAREST))
 
 
-@query(f"WITH {_BITS}, {_CANDIDATES}{_PAIR_HAMMING}{_ranked('x', 'p')}")
+@query(f"WITH {_KEYS}, {_CANDIDATES}{_PAIR_HAMMING}{_ranked('x', 'p')}")
 def lsh_classic_search_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(_lsh(spark, sf_dir, True, ClassicLSH(FUNCTIONS, TABLES)).search(vectors(spark, sf_dir), NEAREST))
 
 
-@query(f"WITH {_BITS}, {_CANDIDATES}{_PAIR_COSINE.replace('y.vec_id = id)', 'y.vec_id = id WHERE y.label <> 3)')}{_ranked('x', 'p')}")
+@query(f"WITH {_KEYS}, {_CANDIDATES}{_PAIR_COSINE.replace('y.vec_id = id)', 'y.vec_id = id WHERE y.label <> 3)')}{_ranked('x', 'p')}")
 def lsh_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
     return _found(_lsh(spark, sf_dir, False, ClassicLSH(FUNCTIONS, TABLES)).remove(gone).search(vectors(spark, sf_dir), NEAREST))
 
 
-@query(f"WITH {_BITS}, {_FOREST} SELECT * FROM c")
+@query(f"WITH {_KEYS}, {_FOREST} SELECT * FROM c")
 def lsh_forest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lsh(spark, sf_dir, True, LSHForest(FUNCTIONS, TABLES)).candidates(vectors(spark, sf_dir), NEAREST)
 
 
-@query(f"WITH {_BITS}, {_FOREST}{_PAIR_COSINE}{_ranked('x', 'p')}")
+@query(f"WITH {_KEYS}, {_FOREST}{_PAIR_COSINE}{_ranked('x', 'p')}")
 def lsh_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(_lsh(spark, sf_dir, False, LSHForest(FUNCTIONS, TABLES)).search(vectors(spark, sf_dir), NEAREST))
 

@@ -10,9 +10,9 @@ A cluster cannot hold the lists of a corpus in one place, so documents first go
 2. Each set is sampled by n-gram hash, at a rate by powers of two that leaves 32 to 63 n-grams; sets up to 63 are whole.
    Documents of similar size share a level of sampling. T-occurrence over the samples uses the rarest-first prefix: a partner
    shares one of the m - T + 1 rarest of m sampled n-grams, and of those only the ones that occur twice are joined.
-   A pair whose samples overlap enough is an edge. T and that overlap allow for chance in sampling (``Z``, ``Z_PAIR``
-   standard deviations); for unsampled sets they are exact. This is the only approximation: pairs at the very threshold where one set
-   holds the other are found with a probability of 0.9, pairs of equal sizes or 0.1 above it with more than 0.99.
+   A pair whose samples overlap enough is an edge. T and that overlap allow ``Z`` standard deviations of chance in sampling;
+   for unsampled sets they are exact. This is the only approximation: pairs at the very threshold where one set holds the other are
+   found with a probability above 0.97, pairs 0.1 above it with more than 0.999.
 3. Connected components of the edges, by alternating large-star and small-star steps on written tables, are the blocks; each
    document's whole set goes once to its block, where the search above runs over whole inverted lists.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from glossa.llm import runtime, textops
 
 N, THRESHOLD = 3, 0.5
-SAMPLE_BITS, Z, Z_PAIR, SKIP_MU = 5, 1.3, 2.5, 0.1
+SAMPLE_BITS, Z, SKIP_MU = 5, 2.5, 0.1
 
 
 # ---- sets and samples -----------------------------------------------------------------------------------------
@@ -123,10 +123,11 @@ def _edges(reps: DataFrame, threshold: float) -> DataFrame:
         F.when(x["level"] == y["level"] + 1, F.size(F.array_intersect(x["own"], y["next"]))),
     ]
     overlap, lv = F.coalesce(*at_one_level, F.lit(-1)), F.greatest(x["level"], y["level"])
-    # a similarity of t is an overlap of t / (1 + t) of both sizes; a sample holds its share of that, within chance
+    # a similarity of t is an overlap of t / (1 + t) of both sizes, and of t of the larger set, whose sample has its share by chance
     least = (x["size"] + y["size"]) * (threshold / (1 + threshold))
-    share = least / F.call_function("shiftleft", F.lit(1), lv)
-    alike = F.when(lv == 0, overlap >= least - 1 - 1e-9).otherwise(overlap >= share - Z_PAIR * F.sqrt(share / 2))
+    m = lambda side: F.size(F.when(side["level"] == lv, side["own"]).otherwise(side["next"]))
+    sized = F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"]) - 1e-9
+    alike = F.when(lv == 0, overlap >= least - 1 - 1e-9).otherwise(sized & (overlap >= _required(F.greatest(m(x), m(y)), lv, threshold)))
     return both.where(alike).select("a", "b")
 
 

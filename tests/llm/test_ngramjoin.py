@@ -112,3 +112,13 @@ def test_components(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_join(docs).count() == 0 and J.keep_one(docs).count() == 0
+
+
+def test_contained_sets_at_the_threshold(spark):
+    rows = []
+    for i in range(300):
+        w = [f"{i}x{j}" for j in range(1002)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:502]))]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= {(2 * i, 2 * i + 1) for i in range(300)} and set(got.values()) == {0.5}
+    assert len(got) >= 0.97 * 300, len(got)

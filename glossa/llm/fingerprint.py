@@ -8,7 +8,7 @@ last sign then stands for all the rest).
 
 Two fingerprints compare where a block size is common to them: 100 * (1 - edit distance / longer length), rounded down, the
 best of the common sizes; runs of one sign count three at most, and signatures without a common 7-gram score 0.
-``compared`` finds every document's best partner: equal fingerprints are one, candidates share a 7-gram at the same block
+``pairs`` finds all pairs of documents that score at least ``LEAST_SCORE``, ``compared`` every document's best partner only: equal fingerprints are one, candidates share a 7-gram at the same block
 size, and the edit distance of each candidate pair is computed once a common run, by bit vectors over many pairs at a time. No
 candidate is capped; the pairs of a passage that n documents share are n * n / 2, cut into groups for many tasks.
 
@@ -36,6 +36,7 @@ WINDOW, LONG, LEAST_BLOCK = 7, 64, 3
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 GRAM = 7
 GROUP, PAIRS = 2048, 1 << 18
+LEAST_SCORE = 50
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -166,8 +167,27 @@ def _masks(codes: np.ndarray) -> np.ndarray:
 
 def _best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares all pairs of each group (rows sorted by key, low, high); gives each row's best partner of the batch."""
+    for rows in _scored(batches, 1, _first_best):
+        rows = _first_best(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], names=["rep", "score", "id"])
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
+
+def _pair_rows(least: int):
+    """The same, but gives every pair that scores ``least`` or more, low document first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _scored(batches, least, lambda rows: rows[:, rows[0] < rows[2]]):
+            for i in range(0, rows.shape[1], PAIRS):
+                a, s, b = rows[:, i : i + PAIRS]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s.astype(np.int32)), pa.array(b)], names=["a", "score", "b"])
+
+    return run
+
+
+def _scored(batches: Iterator[pa.RecordBatch], least: int, taken) -> Iterator[np.ndarray]:
+    """Rows (document, score, partner) of each batch of whole groups: what ``taken`` leaves of each part's pairs, both ways round."""
+
+    def solve(table: pa.Table) -> np.ndarray:
         key, low, high, own, rep, pos = (table.column(i).to_numpy() for i in range(6))
         unique = table.column(6).combine_chunks().dictionary_encode()
         codes, size = _codes(unique.dictionary.to_pylist())
@@ -194,11 +214,10 @@ def _best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             longer = np.maximum(size[sign[x]], size[sign[y]])
             d = edit_distances(sign[x], size[sign[x]], masks, codes[sign[y]], size[sign[y]])
             score = (100 * longer - 100 * d) // longer
-            x, y, score = rep[x][score > 0], rep[y][score > 0], score[score > 0]
+            x, y, score = rep[x][score >= least], rep[y][score >= least], score[score >= least]
             both = np.array([np.append(x, y), np.append(score, score), np.append(y, x)])
-            found.append(_first_best(both))
-        rows = _first_best(np.concatenate(found, axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], names=["rep", "score", "id"])
+            found.append(taken(both))
+        return np.concatenate(found, axis=1)
 
     rest: pa.Table | None = None
     for batch in batches:
@@ -220,8 +239,8 @@ def _first_best(rows: np.ndarray) -> np.ndarray:
     return rows[:, np.append(True, rows[0, 1:] != rows[0, :-1])[: rows.shape[1]]]
 
 
-def compared(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, match_id, score)``: each document's best partner, null where none scores above 0."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(fingerprints of all rows, those that can have partners, groups of equal ones, rows of the 7-gram groups to compare)."""
     prints = runtime.written(fingerprint(docs), "fingerprints")
     known = prints.where("doc_id IS NOT NULL AND fingerprint IS NOT NULL").distinct()
     groups = known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -236,6 +255,28 @@ def compared(docs: DataFrame) -> DataFrame:
     cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "block", "pos")
     rows = cut.join(signs, ["rep", "block"]).select("key", "low", "high", "own", "rep", "pos", "sign")
     groups_in = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return prints, known, groups, groups_in
+
+
+def pairs(docs: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+    """``(doc_a, doc_b, score)``, doc_a < doc_b: all pairs of documents that score ``least`` (1 or more) or above.
+
+    Each pair of fingerprints is compared once a common run, and stands for all pairs of the documents that have them.
+    """
+    _, known, _, groups_in = _grouped(docs)
+    scored = groups_in.mapInArrow(_pair_rows(least), "a long, score int, b long").groupBy("a", "b").agg(F.max("score").alias("score"))
+    members = known.withColumn("rep", F.min("doc_id").over(Window.partitionBy("fingerprint"))).select("rep", "doc_id")
+    members = runtime.written(members, "members")
+    side = lambda x: members.select(F.col("rep").alias(x), F.col("doc_id").alias(f"doc_{x}"))
+    near = scored.join(side("a"), "a").join(side("b"), "b").where("doc_a <> doc_b")
+    equal = side("a").join(side("b").withColumnRenamed("b", "a"), "a").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(100).alias("score"))
+    near = near.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "score")
+    return near.unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("score").alias("score"))
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fingerprint, match_id, score)``: each document's best partner, null where none scores above 0."""
+    prints, known, groups, groups_in = _grouped(docs)
     best = groups_in.mapInArrow(_best_rows, "rep long, score int, id long").groupBy("rep").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("m"))
     # the least document of the best equal fingerprint, or of one's own
     second = known.join(groups.where("rep < last"), "fingerprint").where("doc_id > rep").groupBy("rep").agg(F.min("doc_id").alias("second"))

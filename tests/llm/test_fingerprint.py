@@ -108,3 +108,19 @@ def test_column_score(spark):
     pairs = spark.createDataFrame([(f, g) for f in prints for g in prints], "f string, g string")
     for r in pairs.select("f", "g", P.score(P.signatures(pairs["f"]), P.signatures(pairs["g"])).alias("s")).collect():
         assert r.s == score(r.f, r.g)
+
+
+@pytest.mark.parametrize("group,least", [(P.GROUP, P.LEAST_SCORE), (3, 1)])
+def test_all_pairs(spark, monkeypatch, group, least):
+    monkeypatch.setattr(P, "GROUP", group)
+    rows = corpus(group)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints, want = P.fingerprints([t for _, t in rows]), {}
+    for (d, _), f in zip(rows, prints):
+        for (e, _), g in zip(rows, prints):
+            if None not in (d, e, f, g) and d < e and (s := 100 if f == g else score(f, g)) >= least:
+                want[d, e] = max(s, want.get((d, e), 0))
+    found = P.pairs(docs, least).collect()
+    assert {(r.doc_a, r.doc_b): r.score for r in found} == want and len(found) == len(want)
+    best = {frozenset((r.doc_id, r.match_id)) for r in P.compared(docs).collect() if r.match_id is not None}
+    assert set(map(frozenset, want)) - best and P.pairs(docs.limit(0)).count() == 0

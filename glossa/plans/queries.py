@@ -299,6 +299,24 @@ def linear_scan_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(index.search(_label_means(spark, sf_dir), NEAREST))
 
 
+_EVERY = _MEANS + ", q AS (SELECT vec_id AS query_id, a AS b FROM e)"
+
+
+@query(f"WITH {_EVERY}, c AS (SELECT query_id, vec_id AS id, round(1 - list_cosine_similarity(b, a), 9) AS x FROM q, e), {_ranked('x')}")
+def linear_scan_topk_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all vectors to every vector."""
+    index = LinearScanIndex(_round_first(measures.cosine_distance)).index(vectors(spark, sf_dir))
+    return _found(index.search(vectors(spark, sf_dir), NEAREST))
+
+
+@query(f"WITH {_EVERY}, c AS (SELECT query_id, vec_id AS id, round(list_distance(b, a), 9) AS x FROM q, e WHERE label <> 3), {_ranked('x')}")
+def linear_scan_remove_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by Euclidean distance, after one label's vectors were removed; they still ask."""
+    gone = read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
+    index = LinearScanIndex(_round_first(measures.euclidean_distance)).index(vectors(spark, sf_dir)).remove(gone)
+    return _found(index.search(vectors(spark, sf_dir), NEAREST))
+
+
 @query(f"WITH {_BITS} SELECT vec_id AS id, bits FROM s")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = SignRandomProjection(BITS, SEED, integer_planes=True).fit_transform(vectors(spark, sf_dir))

@@ -7,7 +7,8 @@ looking back, and after an edit is recomputed only until it agrees with the old
 
 Texts are first cut into pieces as the vocabulary's pattern has it (contractions, letters, numbers, other signs, each
 with one space before it, and white space). Cutting and hashing are numpy passes over code points (``textops``); each
-task encodes a distinct piece once and assembles the documents' ids by gathering. No shuffle; tables stay in the task.
+task encodes a distinct piece once and assembles the documents' ids by gathering; pieces are found by hash and told by their
+characters. No shuffle; tables stay in the task.
 
 Edge cases: null and empty texts have no tokens and count as decoded right; very long texts and very long pieces are
 encoded whole, in time linear in their length; repeated documents each keep their row; an empty table gives an empty table;
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from glossa.llm import runtime, textops
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MEMO_PIECES, MEMO_PAIRS = 1 << 20, 1 << 17
+MEMO_PIECES, MEMO_POINTS, MEMO_PAIRS = 1 << 20, 1 << 25, 1 << 17
 _APOSTROPHE = ord("'")
 
 
@@ -216,6 +217,20 @@ def pieces(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mark[:n])
 
 
+def _unlike(a: np.ndarray, at: np.ndarray, size: np.ndarray, b: np.ndarray, at_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether each run of ``a`` differs from its run of ``b``."""
+    out = size != size_b
+    same = np.flatnonzero(~out)
+    n = size[same]
+    total = np.cumsum(n)
+    place = np.arange(int(total[-1]) if len(n) else 0)
+    shift = total - n
+    differs = a[place + np.repeat(at[same] - shift, n)] != b[place + np.repeat(at_b[same] - shift, n)]
+    if differs.any():
+        out[same[np.unique(np.searchsorted(total, np.flatnonzero(differs), side="right"))]] = True
+    return out
+
+
 class Encoder:
     """Encodes many texts; remembers the encodings of the distinct pieces met, and starts anew beyond ``MEMO_PIECES``."""
 
@@ -230,6 +245,8 @@ class Encoder:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.size, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        # the code points of each slot's piece: a hash finds a piece, only its code points tell that it is the same
+        self.length, self.begin, self.points = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the known keys, whether it is one)."""
@@ -241,7 +258,7 @@ class Encoder:
     def _add(self, new: dict[int, bytes]) -> None:
         """Encodes new pieces in the order of their bytes: a piece begins with the table of what it shares with the last one."""
         bpe, before, last = self.bpe, b"", []
-        keys, sizes, flat = [], [], []
+        keys, sizes, flat, texts = [], [], [], []
         for piece, key in sorted((b, k) for k, b in new.items()):
             shared, most = 0, min(len(piece), len(before))
             while shared < most and piece[shared] == before[shared]:
@@ -250,6 +267,7 @@ class Encoder:
             bpe.extend(piece, last, len(piece))
             before, ids = piece, bpe.tokens(last)
             keys.append(key)
+            texts.append(piece.decode("utf-8", "surrogatepass"))
             sizes.append(len(ids))
             flat += ids
         sizes = np.array(sizes, np.int64)
@@ -261,10 +279,14 @@ class Encoder:
         self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
         self.size = np.append(self.size, sizes)
         self.flat = np.append(self.flat, np.array(flat, np.int32))
+        length = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.append(self.begin, len(self.points) + np.cumsum(length) - length)
+        self.length = np.append(self.length, length)
+        self.points = np.append(self.points, textops.codepoints(texts)[0])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the n+1 offsets of the texts in them."""
-        if len(self.keys) > MEMO_PIECES:
+        if len(self.keys) > MEMO_PIECES or len(self.points) > MEMO_POINTS:
             self._clear()
         if len(self.bpe._apart) > MEMO_PAIRS:
             self.bpe._apart.clear()
@@ -275,21 +297,32 @@ class Encoder:
             ends = np.append(starts[1:], len(cps))
             h = textops.run_hash(textops.prefix_hash(cps), starts, ends)
             keys, at, which = np.unique(h, return_index=True, return_inverse=True)
-            unseen = np.flatnonzero(~self._known(keys)[1])
-            if len(unseen):
-                joined = "".join(group)
-                for key, a, b in zip(keys[unseen].tolist(), starts[at[unseen]].tolist(), ends[at[unseen]].tolist()):
-                    if key not in new:
-                        new[key] = joined[a:b].encode("utf-8", "surrogatepass")
-            groups.append((keys, which.astype(np.int32), np.searchsorted(starts, offsets)))
+            odd = _unlike(cps, starts, ends - starts, cps, starts[at][which], (ends - starts)[at][which])
+            place, known = self._known(keys)
+            slot = self.slots[place[known]]
+            mine = np.flatnonzero(known)
+            wrong = np.zeros(len(keys), bool)
+            wrong[mine] = _unlike(cps, starts[at[mine]], (ends - starts)[at[mine]], self.points, self.begin[slot], self.length[slot])
+            unseen = np.flatnonzero(~known)
+            joined = "".join(group) if len(unseen) or odd.any() or wrong.any() else ""
+            for i, key, a, b in zip(unseen.tolist(), keys[unseen].tolist(), starts[at[unseen]].tolist(), ends[at[unseen]].tolist()):
+                piece = joined[a:b].encode("utf-8", "surrogatepass")
+                wrong[i] = new.setdefault(key, piece) != piece
+            # pieces that only share another one's hash are encoded where they stand
+            alone = {i: self.bpe.encode_piece(joined[starts[i] : ends[i]].encode("utf-8", "surrogatepass")) for i in np.flatnonzero(odd | wrong[which]).tolist()}
+            groups.append((keys, which.astype(np.int32), np.searchsorted(starts, offsets), alone))
         if new:
             self._add(new)
         ids, firsts, total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
-        for keys, which, first in groups:
+        for keys, which, first, alone in groups:
             own = self.slots[self._known(keys)[0]][which] if len(keys) else np.zeros(0, np.int32)
-            size = self.size[own]
+            size, start, flat = self.size[own], self.start[own], self.flat
+            if alone:
+                n = np.array([len(x) for x in alone.values()])
+                size[list(alone)], start[list(alone)] = n, len(flat) + np.cumsum(n) - n
+                flat = np.append(flat, np.array([t for x in alone.values() for t in x], np.int32))
             done = np.append(0, np.cumsum(size))
-            ids.append(self.flat[np.arange(done[-1]) + np.repeat(self.start[own] - done[:-1], size)])
+            ids.append(flat[np.arange(done[-1]) + np.repeat(start - done[:-1], size)])
             firsts.append(done[first[1:]] + total)
             total += int(done[-1])
         return np.concatenate(ids), np.concatenate(firsts)

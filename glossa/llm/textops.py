@@ -18,7 +18,9 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S33, _S29 = np.uint64(33), np.uint64(29)
+_S33, _S31 = np.uint64(33), np.uint64(31)
+_P = np.uint64((1 << 31) - 1)  # a prime modulus: modulo a power of two, polynomials have equal values at related words
+_BASES = (1_483_920_637, 702_118_489)
 
 
 @functools.cache
@@ -43,20 +45,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: list[np.ndarray] = []
+def _mod(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    x = (x & _P) + (x >> _S31)
+    x = (x & _P) + (x >> _S31)
+    x -= (x >= _P) * _P
+    return x
+
+
+_tables: dict[int, np.ndarray] = {}
+
 
+def _table(base: int, n: int) -> np.ndarray:
+    """Powers 0..n-1 of a base modulo the prime."""
+    p = _tables.get(base)
+    if p is None or len(p) < n:
+        p = np.ones(1, np.uint64)
+        while len(p) < max(n, CHUNK + 1):
+            p = np.append(p, _mod(p * np.uint64(pow(base, len(p), int(_P)))))
+        _tables[base] = p
+    return p[:n]
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        _powers[:] = []
-        for b in (_B, inverse):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0][:n], _powers[1][:n]
+
+@functools.cache
+def powers(n: int) -> np.ndarray:
+    """Powers 0..n-1 of a base modulo 2**64, for the few places of an n-gram."""
+    p = np.full(n, _B, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -80,22 +96,29 @@ def codepoints(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(cps: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, for ``run_hash``."""
+    """Running polynomial sums of the code points at two bases, for ``run_hash``."""
     v = cps.astype(np.uint64)
     v += np.uint64(1)
-    v *= _M1
-    v ^= v >> _S29
-    v *= powers(len(cps) + 1)[0][: len(cps)]
-    out = np.zeros(len(cps) + 1, np.uint64)
-    np.cumsum(v, out=out[1:])
+    out = np.zeros((2, len(cps) + 1), np.uint64)
+    for row, base in zip(out, _BASES):
+        x = v * _table(base, len(cps))
+        low = x & _P
+        x >>= _S31
+        x += low  # below 2**32: sums of 2**31 signs fit, and the remainder is taken once a run
+        np.cumsum(x, out=row[1:])
     return out
 
 
 def run_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs [start, end); equal runs hash alike wherever they stand."""
-    h = prefix[ends] - prefix[starts]
-    h *= powers(len(prefix))[1][starts]
-    h += (ends - starts).astype(np.uint64)
+    """64-bit hashes of the runs [start, end); equal runs hash alike wherever they stand.
+
+    Two polynomials modulo a prime and the length: unlike runs collide by chance only, and no more likely in long ones of few signs.
+    """
+    size, parts = prefix.shape[1], []
+    for row, base in zip(prefix, _BASES):
+        back = _table(pow(base, -1, int(_P)), size)
+        parts.append(_mod(_mod(row[ends] - row[starts]) * back[starts]))
+    h = (parts[0] << _S31 | parts[1]) ^ mix((ends - starts).astype(np.uint64))
     return mix(h)
 
 
@@ -134,7 +157,7 @@ def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     """Hashes of the n-grams that start at each word, and whether the n-gram ends within its document."""
     size = len(h)
     g = np.zeros(size, np.uint64)
-    p = powers(n)[0]
+    p = powers(n)
     for j in range(n):
         g[: size - j] += h[j:] * p[j]
     fits = np.arange(size) + n <= np.repeat(first[1:], np.diff(first))

@@ -1,4 +1,4 @@
-"""Exact top-k inner-product search, every row a query, over norm-bucketed vectors.
+"""Exact top-k inner-product search of a set of queries (all rows, if none is given) over norm-bucketed vectors.
 
 Vectors are grouped by length into buckets in falling order: a range partitioning by norm, cut where a bucket is full or the
 norm has fallen below ``SPREAD`` of its first. A block of queries goes through the buckets from the longest. With theta a query's k-th
@@ -12,8 +12,9 @@ still counts. Above 1, the bucket is passed over (unread if that holds for the w
 and the products of what is left are computed in double precision and verified against theta. All bounds have a margin for
 rounding and keep equality, so the result is exact.
 
-The buckets are written once to the session's shared folder; a task holds one block of queries and one file of buckets at
-a time, whatever the number of vectors. Nothing is broadcast but the list of buckets (one entry for 2,048 vectors). No shuffle follows.
+The buckets are written once to the session's shared folder, the queries in blocks beside them; a task holds one block of queries and
+one bucket at a time, whatever the number of vectors. Nothing is broadcast but the list of buckets (one entry for 2,048 vectors). No
+shuffle follows. Every bucket that a block of queries cannot pass over is read by it: the work is queries times vectors, less what is pruned.
 
 Edge cases: vectors that are null, empty or hold a null or a value that is not finite neither ask nor are found, like rows with a null id; vectors meet only those
 of their own dimension; a row is no partner of rows with its id, and repeated rows of one id are found once (their best product),
@@ -39,7 +40,7 @@ MARGIN, DIGITS = 2e-6, 6
 BUCKET = "dim int, top double, ids binary, vectors binary"
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_rows(batches: Iterator[pa.RecordBatch], block_size: int) -> Iterator[pa.RecordBatch]:
     """Packs rows (id, dim, norm, vector), sorted by dim and falling norm, into buckets."""
     ids, rows, dim, top = [], [], None, 0.0
 
@@ -49,7 +50,7 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for i, d, n, v in zip(*(c.to_pylist() for c in batch.columns)):
-            if ids and (d != dim or len(ids) >= BLOCK or (n < SPREAD * top and len(ids) >= BLOCK // 8)):
+            if ids and (d != dim or len(ids) >= block_size or (n < SPREAD * top and len(ids) >= block_size // 8)):
                 yield bucket()
                 ids, rows = [], []
             if not ids:
@@ -187,30 +188,43 @@ def _search_rows(folder: str, files: list[tuple[str, list[tuple[int, float]]]],
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """``(vec_id, rank, neighbor_id, score)``: for every row its k partners of the largest inner product."""
-    spark = vectors.sparkSession
-    v = F.col("v")
+def _packed(vectors: DataFrame, id_column: str, column: str, block_size: int, what: str) -> tuple[str, DataFrame]:
+    """(folder, buckets) of the vectors that can be compared, written."""
+    spark, v = vectors.sparkSession, F.col("v")
     plain = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
     plain = plain.where(F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     ready = plain.select("id", F.size(v).alias("dim"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), "v")
     sort = [F.col("dim"), F.col("norm").desc(), F.col("id")]
-    packed = ready.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(_bucket_rows, BUCKET)
-    path = runtime.new_path(spark, "buckets")
-    packed.write.parquet(path)
-    buckets = spark.read.schema(BUCKET).parquet(path)
+    path = runtime.new_path(spark, what)
+    ordered = ready.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    ordered.mapInArrow(lambda batches: _bucket_rows(batches, block_size), BUCKET).write.parquet(path)
+    return path, spark.read.schema(BUCKET).parquet(path)
+
+
+def top_k(vectors: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+    """``(vec_id, rank, neighbor_id, score)``: for every query (a row of ``vectors``, or of ``queries``) its k partners of the largest inner product."""
+    spark = vectors.sparkSession
+    path, buckets = _packed(vectors, id_column, column, BLOCK, "buckets")
     rows = buckets.select(F.col("_metadata.file_name").alias("file"), "dim", "top").collect() if k > 0 else []
     by_file: dict[str, list[tuple[int, float]]] = {}
     for r in rows:
         by_file.setdefault(r["file"], []).append((r["dim"], r["top"]))
     files = sorted(by_file.items(), key=lambda f: -max(t for _, t in f[1]))
-    queries = buckets.repartition(max(1, len(rows)))
-    return queries.mapInArrow(_search_rows(path, files, k), "vec_id long, rank int, neighbor_id long, score double")
+    asked, blocks = buckets, len(rows)
+    if queries is not None and k > 0:
+        # blocks as large as leaves every core a few: a block reads what it needs of all buckets, so large ones read less
+        block_size = max(64, min(BLOCK, queries.count() // (2 * spark.sparkContext.defaultParallelism) + 1))
+        _, asked = _packed(queries, id_column, column, block_size, "queries")
+        blocks = asked.count()
+    return asked.repartition(max(1, blocks)).mapInArrow(_search_rows(path, files, k), "vec_id long, rank int, neighbor_id long, score double")
+
 
+#: Searches ask with every row whose id this divides, against all rows.
+QUERY_EVERY = 50
 
 ORACLE_SQL = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
-p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_inner_product(a.e, b.e), {DIGITS}) + 0.0 AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_inner_product(a.e, b.e), {DIGITS}) + 0.0 AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {QUERY_EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS rank FROM p)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, score FROM r WHERE rank <= {K}
 """

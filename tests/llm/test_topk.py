@@ -74,3 +74,13 @@ def test_spread(spark, partitions):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(partitions)
     got = sorted((r.vec_id, r.rank, r.neighbor_id, r.score) for r in topk.top_k(df, 4).collect())
     assert got == brute([(i, np.array(v)) for i, v in rows], 4)
+
+
+def test_some_rows_ask(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)) * rng.uniform(0.1, 5, (400, 1)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [r for r in brute([(i, np.array(v)) for i, v in rows], 4) if r[0] % 50 == 0]
+    got = topk.top_k(df, 4, queries=df.where("vec_id % 50 = 0")).collect()
+    assert sorted((r.vec_id, r.rank, r.neighbor_id, r.score) for r in got) == want
+    assert topk.top_k(df, 4, queries=df.limit(0)).count() == 0 and topk.top_k(df.limit(0), 4, queries=df).count() == 0

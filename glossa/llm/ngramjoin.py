@@ -1,29 +1,36 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
+"""N-gram Jaccard join: which documents have sets of word n-grams with a Jaccard similarity of at least a threshold.
 
-The pairs are found by T-occurrence search: a document's partners are those that stand in at least T of its n-grams' inverted
+Links are found by T-occurrence search: a document's partners are those that stand in at least T of its n-grams' inverted
 lists. Short lists are merged and counted; the longest are set aside and only probed, by binary search, for the documents
-that the short ones leave within reach of T (DivideSkip); what reaches its overlap is kept with the exact similarity.
-
-A cluster cannot hold the lists of a corpus in one place, so documents first go to blocks that close over similarity:
-
-1. Documents with equal sets collapse to the least doc_id; the others come back at the end.
-2. Each set is sampled by n-gram hash, at a rate by powers of two that leaves 32 to 63 n-grams; sets up to 63 are whole.
-   Documents of similar size share a level of sampling. T-occurrence over the samples uses the rarest-first prefix: a partner
-   shares one of the m - T + 1 rarest of m sampled n-grams, and of those only the ones that occur twice are joined.
-   A pair whose samples overlap enough is an edge. T and that overlap allow ``Z`` standard deviations of chance in sampling;
-   for unsampled sets they are exact. This is the only approximation: pairs at the very threshold where one set holds the other are
-   found with a probability above 0.97, pairs 0.1 above it with more than 0.999.
-3. Connected components of the edges, by alternating large-star and small-star steps on written tables, are the blocks; each
-   document's whole set goes once to its block, where the search above runs over whole inverted lists.
-
-No list, partner or candidate is capped. Text is shuffled once, by doc_id, unless the counted size of the list of documents that
-have an edge lets that be broadcast.
-
-A word is a run of characters other than white space; a text of fewer than n words has its words as its only n-gram.
-
-Edge cases: null and empty texts have no n-gram and no partner; a null doc_id takes no part (``keep_one`` keeps such rows);
-rows of one doc_id are one document and no partners (the largest similarity of theirs counts); ties do not arise, for all pairs are
-returned, and the least doc_id of a group stays; an empty table gives an empty result; other columns are not read.
+that the short ones leave within reach of T (DivideSkip); what reaches its overlap is a link. Every link at or above the
+threshold is found; no list, partner or candidate is capped and nothing is sampled.
+
+A cluster cannot hold the lists of a corpus in one place, so sets first go to blocks that close over similarity:
+
+1. Documents with equal sets collapse to one set with a number of members.
+2. In how many sets each n-gram stands is counted over hash parts of packed postings (4 bytes an n-gram and a share of its set's
+   key). A set of s n-grams shares at least ceil(t * s) with any partner, so of those that stand in several sets all but the
+   ceil(t * s) - 1 most frequent are its prefix: two partners have a prefix n-gram in common, and so the least set that has it,
+   its owner. Each set goes to the owners of its prefix, as its size and a bitmap in which every n-gram flips one bit.
+3. At an owner, two sets are candidates unless their sizes or bitmaps prove them apart: the differing bits of two bitmaps are
+   never more than the n-grams in which the sets differ. Of the candidate graph only a spanning forest is kept.
+4. Connected components of the forests, by alternating large-star and small-star steps on written tables, are the blocks; each
+   whole set goes once to its block, where the search above runs over whole inverted lists.
+
+Hot keys: an n-gram that many sets have (``hot_grams``) is never gathered in one task: its postings keep their places, as the last
+in the order of frequency. Owners with more than ``GROUP`` sets are cut into parts, and every two parts are compared in a task of
+their own; blocks of more than ``BLOCK_GRAMS`` n-grams likewise. Equal sets are dropped from a task's postings where they are read.
+
+The result has one row a document: its class (the least doc_id that links lead to) and its number of links, so copies are not
+expanded into pairs; ``links`` gives the links between sets themselves.
+
+A word is a run of characters other than white space; a text of fewer than n words has its words as its only n-gram. N-grams and
+sets are compared by hashes of 64 and 128 bits.
+
+Edge cases: null and empty texts have no n-gram: a class of their own, without links; rows with a null doc_id take no part (``keep_one``
+keeps them); equal rows are one document; rows of one doc_id with different texts are documents of their own, each with its row,
+and may be linked; ties do not arise, for all links count, and the least doc_id of a class names it; an empty table
+gives an empty result; very long texts are whole; other columns are not read. A threshold outside (0, 1] or n below 1 raises ValueError.
 """
 
 from __future__ import annotations
@@ -34,16 +41,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import runtime, textops
+from glossa.llm.graph import components
 
 N, THRESHOLD = 3, 0.5
-SAMPLE_BITS, Z, SKIP_MU = 5, 2.5, 0.1
+SKIP_MU = 0.1
+PART_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 1 << 22, 1 << 21, 1 << 22
+GROUP = 2048
+HOT_SLICE, HOT_SHARE, HOT_LEAST = 64, 32, 1 << 16
+_HOT_RANK = np.int64(1) << np.int64(56)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
-# ---- sets and samples -----------------------------------------------------------------------------------------
+# ---- sets -----------------------------------------------------------------------------------------------------
 
 
 def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -57,103 +70,323 @@ def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
             yield np.unique(own)
 
 
-def level_of(size: int) -> int:
-    return max(0, size.bit_length() - 1 - SAMPLE_BITS)
+def set_key(grams: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh128_digest(grams.tobytes()), np.int64)
+
+
+def bits_per_gram(threshold: float) -> int:
+    return 4 if threshold >= 0.4 else 16
+
+
+def bitmap(grams: np.ndarray, per: int) -> bytes:
+    """Each n-gram flips the bit of its hash modulo a power of two; halves of a longer bitmap fold to a shorter one by xor."""
+    size = 1 << max(6, (len(grams) * per - 1).bit_length())
+    return np.packbits((np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _needed(size: int, threshold: float) -> int:
+    return math.ceil(threshold * size - 1e-9)
+
+
+SKETCH = "doc_id long, key_a long, key_b long, size int, quota int, bits binary"
 
 
-def _sketch_rows(n: int):
-    names = ["doc_id", "key_a", "key_b", "size", "level", "grams"]
+def _sketch_rows(n: int, threshold: float):
+    """One row a document; and n-grams that many of a slice's sets have, as rows of size -1 (n-gram, count)."""
+    per, names = bits_per_gram(threshold), [x.split()[0] for x in SKETCH.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runtime.parts(batches):
-            ids, rows = batch.column(0).to_pylist(), []
-            for d, s in zip(ids, gram_sets(batch.column(1).to_pylist(), n)):
-                if len(s):
-                    key = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
-                    level = level_of(len(s))
-                    rows.append((d, int(key[0]), int(key[1]), len(s), level, s[(s & np.uint64((1 << level) - 1)) == 0].view(np.int64)))
+            rows, distinct = [], {}
+            for d, s in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1).to_pylist(), n)):
+                if not len(s):
+                    rows.append((d, 0, 0, 0, 0, b""))
+                    continue
+                a, b = set_key(s).tolist()
+                distinct[a] = s
+                # n-grams that share the low half of their hash are one posting: so many fewer are set aside
+                quota = _needed(len(s), threshold) - 1 - (len(s) - len(np.unique(s & _LOW)))
+                rows.append((d, a, b, len(s), quota, bitmap(s, per)))
+            if distinct:
+                least = max(16, len(distinct) // HOT_SLICE)
+                if len(distinct) >= least:
+                    gram, count = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
+                    hot = count >= least
+                    rows += [(None, g, c, -1, 0, b"") for g, c in zip(gram[hot].view(np.int64).tolist(), count[hot].tolist())]
             if rows:
-                c = list(zip(*rows))
-                offsets = np.cumsum([0, *map(len, c[5])]).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(c[5])))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), grams], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    return run
+
+
+def hot_grams(sketches: DataFrame, n_sets: int) -> np.ndarray:
+    """The n-grams that stand in a ``HOT_SHARE``-th of the sets or more by the slices' counts, sorted.
+
+    At most ``HOT_SHARE`` times the mean size of a set are hot, whatever the corpus; which are is a matter of routing and of order
+    only, not of the result.
+    """
+    counted = sketches.where("size = -1").groupBy("key_a").agg(F.sum("key_b").alias("n")).where(F.col("n") >= max(HOT_LEAST, n_sets // HOT_SHARE))
+    return np.sort(np.array([r[0] for r in counted.select("key_a").collect()], np.int64).view(np.uint64))
+
+
+# ---- frequencies and prefixes ---------------------------------------------------------------------------------
+
+BLOB = "part int, hot boolean, keys binary, counts binary, ids binary"
+
+
+def _blob_rows(n: int, parts: int, hot: np.ndarray):
+    """Postings packed by the part of their n-gram's hash: keys of the sets, number of n-grams of each, low halves of the n-grams."""
+
+    def flush(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        key, g = np.array(keys, np.int64), np.concatenate(sets)
+        doc = np.repeat(np.arange(len(keys)), [len(s) for s in sets])
+        is_hot = np.zeros(len(g), bool)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
+        part = ((g >> np.uint64(32)) % np.uint64(parts)).astype(np.int64) * 2
+        if len(hot):  # a hot n-gram stays with its set
+            part[is_hot] = (key[doc[is_hot]].view(np.uint64) % np.uint64(parts)).astype(np.int64) * 2 + 1
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 15 else part, kind="stable")
+        part, doc, low = part[order], doc[order], (g[order] & _LOW).astype(np.uint32)
+        new = np.append(True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]))
+        at = np.flatnonzero(new)
+        counts, owner, of = np.diff(np.append(at, len(part))).astype(np.uint32), key[doc[at]], part[at]
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        end, start = np.append(begin[1:], len(of)), np.append(at, len(part))
+        rows = [(int(of[b]) // 2, bool(of[b] & 1), owner[b:e].tobytes(), counts[b:e].tobytes(), low[start[b] : start[e]].tobytes()) for b, e in zip(begin.tolist(), end.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()])], names=["part", "hot", "keys", "counts", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, sets, total = set(), [], [], 0
+        for batch in runtime.parts(batches):
+            for s in gram_sets(batch.column(0).to_pylist(), n):
+                if not len(s):
+                    continue
+                key = int(set_key(s)[0])
+                if key in seen:
+                    continue
+                seen.add(key)
+                keys.append(key)
+                sets.append(s)
+                total += len(s)
+                if total >= FLUSH_GRAMS:
+                    yield flush(keys, sets)
+                    keys, sets, total = [], [], 0
+        if keys:
+            yield flush(keys, sets)
+        runtime.release()
 
     return run
 
 
-def _at(grams: Column, level: Column) -> Column:
-    """The sampled n-grams that are also in the sample of ``level``."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1
-    return F.filter(grams, lambda g: g.bitwiseAND(mask) == 0)
-
-
-def _required(m: Column, level: Column, threshold: float) -> Column:
-    """Occurrences that a partner needs in m lists: exact without sampling, else less ``Z`` standard deviations."""
-    exact = F.ceil(m * threshold - 1e-9)
-    sampled = F.floor(m * threshold - Z * F.sqrt(m * (threshold * (1 - threshold))))
-    return F.greatest(F.lit(1), F.when(level == 0, exact).otherwise(sampled)).cast("int")
-
-
-def _edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b)``, a < b: the pairs whose samples occur together often enough."""
-    levels = reps.select("rep", F.explode(F.array("level", F.col("level") + 1)).alias("lv"), "grams")
-    levels = levels.select("rep", "lv", _at(F.col("grams"), F.col("lv")).alias("own"))
-    # one number holds an n-gram and its level
-    key = F.explode(F.transform("own", lambda g: g.bitwiseAND(F.lit(~63)).bitwiseOR(F.col("lv").cast("long")))).alias("key")
-    # Counts and lists come from one exchange by key.
-    postings = levels.select("rep", key).repartition("key")
-    shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    lists = postings.join(shared, "key").groupBy("rep", F.col("key").bitwiseAND(63).cast("int").alias("lv"))
-    lists = lists.agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rare"))
-    sizes = levels.select("rep", "lv", F.size("own").alias("m"))
-    used = F.col("m") - _required(F.col("m"), F.col("lv"), threshold) + 1 - (F.col("m") - F.size("rare"))
-    prefix = lists.join(sizes, ["rep", "lv"]).select("rep", F.explode(F.slice("rare", 1, F.greatest(F.lit(0), used))).alias("x")).select("rep", "x.key")
-    prefix = runtime.written(prefix, "prefixes")
-    pairs = prefix.select("key", F.col("rep").alias("a")).join(prefix.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    # Two bytes of each n-gram are enough to count common ones here: codes that meet by chance add to the
-    # count, or in one set take one from it.
-    code = lambda level: F.transform(_at(F.col("grams"), level), lambda g: (F.pmod(F.shiftright(g, 40), F.lit(65536)) - 32768).cast("short"))
-    coded = runtime.written(reps.select("rep", "size", "level", code(F.col("level")).alias("own"), code(F.col("level") + 1).alias("next")), "codes")
-    side = lambda x: coded.select(F.col("rep").alias(x), F.struct("size", "level", "own", "next").alias(f"of_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    x, y = F.col("of_a"), F.col("of_b")
-    at_one_level = [
-        F.when(x["level"] == y["level"], F.size(F.array_intersect(x["own"], y["own"]))),
-        F.when(x["level"] + 1 == y["level"], F.size(F.array_intersect(x["next"], y["own"]))),
-        F.when(x["level"] == y["level"] + 1, F.size(F.array_intersect(x["own"], y["next"]))),
-    ]
-    overlap, lv = F.coalesce(*at_one_level, F.lit(-1)), F.greatest(x["level"], y["level"])
-    # a similarity of t is an overlap of t / (1 + t) of both sizes, and of t of the larger set, whose sample has its share by chance
-    least = (x["size"] + y["size"]) * (threshold / (1 + threshold))
-    m = lambda side: F.size(F.when(side["level"] == lv, side["own"]).otherwise(side["next"]))
-    sized = F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"]) - 1e-9
-    alike = F.when(lv == 0, overlap >= least - 1 - 1e-9).otherwise(sized & (overlap >= _required(F.greatest(m(x), m(y)), lv, threshold)))
-    return both.where(alike).select("a", "b")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``(rep, root)`` for every node of an edge: the least node of its connected component."""
-    edges = runtime.written(edges, "edges")
-    before = None
-    while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = runtime.written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.col("a").bitwiseXOR(F.col("b") * 31) % 1000003), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if now == before:
-            roots = edges.select(F.col("b").alias("rep"), F.col("b").alias("root")).distinct()
-            return edges.select(F.col("a").alias("rep"), F.col("b").alias("root")).union(roots)
-        before = now
+def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part, the postings of n-grams in several sets, by set: their owners and ranks (frequency, then hash). Rows come sorted by part."""
+
+    def by_set(key: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key, kind="stable")
+        key, owner, rank = key[order], owner[order], rank[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(key))
+        pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist())], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.nulls(len(at), pa.int32()), pack(owner), pack(rank)], names=["key", "quota", "owners", "ranks"])
+
+    def solve(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        every, own = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k, _, _ in rows]), return_inverse=True)
+        doc = np.repeat(own.astype(np.uint64), np.concatenate([np.frombuffer(c, np.uint32) for _, c, _ in rows]))
+        x = np.concatenate([np.frombuffer(i, np.uint32) for _, _, i in rows]).astype(np.uint64)
+        x <<= np.uint64(32)
+        x |= doc
+        x.sort()
+        x = x[np.append(True, x[1:] != x[:-1])]
+        gram = x >> np.uint64(32)
+        at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        df = np.diff(np.append(at, len(x)))
+        many = df > 1
+        size = df[many]
+        place = np.repeat(at[many] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        set_no = (x[place] & _LOW).astype(np.int64)
+        least = np.repeat((x[at[many]] & _LOW).astype(np.int64), size)  # sets are numbered in the order of keys
+        rank = (np.repeat(size, size) << 16) | (gram[place] & np.uint64(0xFFFF)).astype(np.int64)
+        return by_set(every[set_no], every[least], rank)
+
+    def echo(keys: bytes, counts: bytes, ids: bytes) -> pa.RecordBatch:
+        """A hot n-gram owns itself."""
+        key = np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.uint32))
+        low = np.frombuffer(ids, np.uint32)
+        return by_set(key, textops.mix(low.astype(np.uint64)).view(np.int64), _HOT_RANK | low.astype(np.int64))
+
+    rows, last = [], None
+    for batch in batches:
+        for part, hot, keys, counts, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            if hot:
+                yield echo(keys, counts, ids)
+                continue
+            if part != last and rows:
+                yield solve(rows)
+                rows = []
+            last = part
+            rows.append((keys, counts, ids))
+    if rows:
+        yield solve(rows)
+    runtime.release()
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(owner, key)``: the owners of each set's prefix. Rows (key, quota, owners, ranks) come sorted by key."""
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        key = table.column(0).to_numpy()
+        quota = table.column(1).fill_null(1 << 30).to_numpy()
+        owners, ranks = table.column(2).to_pylist(), table.column(3).to_pylist()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        number = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        aside = np.maximum(np.minimum.reduceat(quota, at), 0)
+        size = np.array([0 if o is None else len(o) // 8 for o in owners])
+        of = np.repeat(number, size)
+        owner = np.frombuffer(b"".join(o for o in owners if o), np.int64)
+        rank = np.frombuffer(b"".join(r for r in ranks if r), np.int64)
+        order = np.lexsort((-rank, of))
+        of, owner, rank = of[order], owner[order], rank[order]
+        total = np.bincount(of, minlength=len(at))
+        begin = np.cumsum(total) - total
+        some = total > aside
+        most = np.full(len(at), -1, np.int64)
+        most[some] = rank[(begin + aside)[some]]
+        keep = rank <= most[of]  # all that tie with the first one kept
+        of, owner = of[keep], owner[keep]
+        order = np.lexsort((owner, of))
+        of, owner = of[order], owner[order]
+        once = np.append(True, (of[1:] != of[:-1]) | (owner[1:] != owner[:-1]))[: len(of)]
+        return pa.RecordBatch.from_arrays([pa.array(owner[once]), pa.array(key[at][of[once]])], names=["owner", "key"])
+
+    for table in _whole_groups(batches, 1):
+        yield solve(table)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Tables that end where the first columns change; the input is sorted by them."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.column_stack([batch.column(i).to_numpy() for i in range(columns)])
+        last = int(np.flatnonzero((k != k[-1]).any(1)).max(initial=-1)) + 1  # the last group may go on in the next batch
+        if last:
+            yield pa.Table.from_batches([*waiting, batch.slice(0, last)])
+            waiting = []
+        elif waiting and (np.array([waiting[-1].column(i)[-1].as_py() for i in range(columns)]) != k[0]).any():
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _owned(texts: DataFrame, sketches: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """``(owner, key)`` for every set that shares a prefix n-gram, written."""
+    n_sets, grams = sets.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    hot, parts = hot_grams(sketches, n_sets), grams // PART_GRAMS + 1
+    blobs = texts.select("text").mapInArrow(_blob_rows(n, parts, hot), BLOB)
+    gathered = blobs.repartition(2 * parts, F.when(F.col("hot"), F.col("part") + F.lit(1 << 30)).otherwise(F.col("part"))).sortWithinPartitions("part", "hot")
+    postings = gathered.mapInArrow(_posting_rows, "key long, quota int, owners binary, ranks binary")
+    none = F.lit(None).cast("binary")
+    quotas = sets.select(F.col("key_a").alias("key"), "quota", none.alias("owners"), none.alias("ranks"))
+    by_key = postings.unionByName(quotas).repartition("key").sortWithinPartitions("key")
+    return runtime.written(by_key.mapInArrow(_prefix_rows, "owner long, key long"), "owned")
+
+
+# ---- candidates -----------------------------------------------------------------------------------------------
+
+
+class Forest:
+    """Groups of numbers under union."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def join(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Puts others in a's group; the first of each group that was another."""
+        groups, first = np.unique(self.label[others], return_index=True)
+        fresh = groups != self.label[a]
+        if not fresh.any():
+            return others[:0]
+        self.label[np.isin(self.label, groups[fresh])] = self.label[a]
+        return others[first[fresh]]
+
+
+def candidate_edges(key: np.ndarray, size: np.ndarray, bits: list[bytes], own: np.ndarray, cross: bool, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and bitmaps leave the threshold within reach; ``cross``: only pairs of unlike ``own``."""
+    order = np.argsort(size, kind="stable")
+    key, size, own = key[order], size[order].astype(np.int64), own[order]
+    width = np.array([len(bits[i]) // 8 for i in order])
+    maps: dict[int, np.ndarray] = {}
+    forest, out = Forest(len(key)), []
+
+    def folded(w: int) -> np.ndarray:
+        """The bitmaps from the first of this width on, folded to it."""
+        if w not in maps:
+            at = int(np.searchsorted(width, w))
+            rows = np.empty((len(key) - at, w), np.uint64)
+            for v in np.unique(width[at:]):
+                a, b = np.searchsorted(width, [v, v + 1])
+                x = np.frombuffer(b"".join(bits[order[i]] for i in range(a, b)), np.uint64).reshape(b - a, v)
+                rows[a - at : b - at] = np.bitwise_xor.reduce(x.reshape(b - a, v // w, w), axis=1)
+            maps.clear()
+            maps[w] = rows
+        return maps[w]
+
+    for i in range(len(key) - 1):
+        high = int(np.searchsorted(size, size[i] / threshold + 1e-6, side="right"))
+        j = np.arange(i + 1, high)
+        j = j[forest.label[j] != forest.label[i]]
+        j = j[own[j] != own[i]] if cross else j
+        if not len(j):
+            continue
+        w = int(width[i])
+        rows, at = folded(w), int(np.searchsorted(width, w))
+        bound = (1 - threshold) / (1 + threshold) * (size[i] + size[j]) + 1e-6
+        near = np.zeros(len(j), bool)
+        for a in range(0, len(j), step := max(1, (1 << 21) // w)):
+            near[a : a + step] = np.bitwise_count(rows[j[a : a + step] - at] ^ rows[i - at]).sum(1) <= bound[a : a + step]
+        for y in forest.join(i, j[near]).tolist() if near.any() else ():
+            out.append((int(key[i]), int(key[y])))
+    return out
+
+
+def _edge_rows(threshold: float):
+    """Rows (owner, low, high, own, key, size, bits) come sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 3):
+            owner, low, high, own, key, size = (table.column(i).to_numpy() for i in range(6))
+            bits = table.column(6).to_pylist()
+            at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            out = []
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(owner)]):
+                if b - a > 1:
+                    out += candidate_edges(key[a:b], size[a:b], bits[a:b], own[a:b], bool(low[a] != high[a]), threshold)
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _edges(owned: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    counts = owned.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    shared = owned.join(counts, "owner").join(sets.select(F.col("key_a").alias("key"), "size", "bits"), "key")
+    cut = shared.withColumn("own", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = cut.select("owner", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "size", "bits")
+    groups = cut.repartition("owner", "low", "high").sortWithinPartitions("owner", "low", "high")
+    return groups.mapInArrow(_edge_rows(threshold), "a long, b long").where("a <> b")
 
 
 # ---- search in a block ----------------------------------------------------------------------------------------
 
 
-def divide_skip(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
-    """(i, j, overlap) of the pairs of sets, i < j, with a Jaccard similarity of at least ``threshold``."""
+def divide_skip(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, overlaps) for each set i that has partners among the sets not smaller than it; every linked pair comes once."""
     by_size = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in by_size], np.int64)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -163,7 +396,6 @@ def divide_skip(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int
     begin = np.append(0, np.cumsum(size))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    out = []
     for x in range(len(sets)):
         own = gram[begin[x] : begin[x + 1]]
         low, high = place[begin[x] : begin[x + 1]] + 1, start[own + 1]  # only sets after x: not smaller ones
@@ -189,104 +421,153 @@ def divide_skip(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int
             at = np.minimum(np.searchsorted(one, y), len(one) - 1)
             count += one[at] == y
         share = count >= threshold / (1 + threshold) * (size[x] + size[y]) - 1e-9
-        for j, c in zip(y[share].tolist(), count[share].tolist()):
-            a, b = int(by_size[x]), int(by_size[j])
-            out.append((min(a, b), max(a, b), c))
-    return out
+        if share.any():
+            yield int(by_size[x]), by_size[y[share]], count[share]
 
 
-def _blocks(n: int, solve: Callable[[list[int], list[np.ndarray]], list[tuple]], schema: pa.Schema):
-    """Runs ``solve`` on the (ids, sets) of each block; the input's rows are (root, rep, grams), sorted by root."""
+def _block_rows(solve: Callable[[np.ndarray, np.ndarray, np.ndarray, bool, list[np.ndarray]], list[tuple]], schema: pa.Schema):
+    """Runs ``solve`` on (set ids, members, parts, whether only unlike parts meet, sets) of each block; rows come sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, last, rows = [], [], None, []
+        rows: list[tuple] = []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        def finish(block: list[tuple], cross: bool) -> list[tuple]:
+            sid, n, own, grams = zip(*{b[0]: b for b in block}.values())
+            return solve(np.array(sid, np.int64), np.array(n, np.int64), np.array(own), cross, [np.frombuffer(g, np.uint64) for g in grams])
+
+        block, last = [], None
         for batch in batches:
-            for root, rep, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                if root != last:
-                    rows += solve(ids, sets) if ids else []
-                    ids, sets, last = [], [], root
+            for root, low, high, own, sid, n, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if (root, low, high) != last:
+                    rows += finish(block, last[1] != last[2]) if block else []
+                    block, last = [], (root, low, high)
                     if len(rows) >= 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        yield batch_of(rows)
                         rows = []
-                ids.append(rep)
-                sets.append(np.frombuffer(grams, np.uint64))
-        rows += solve(ids, sets) if ids else []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                block.append((sid, n, own, grams))
+        rows += finish(block, last[1] != last[2]) if block else []
+        for at in range(0, len(rows), 50_000):
+            yield batch_of(rows[at : at + 50_000])
 
     return run
 
 
-def _solved(docs: DataFrame, n: int, threshold: float, solve: Callable, schema: pa.Schema, sql_schema: str) -> tuple[DataFrame, DataFrame]:
-    """(``members``: rep and doc_id of documents with equal sets, result of ``solve`` over the blocks of representatives)."""
-    runtime.small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketches = runtime.written(texts.mapInArrow(_sketch_rows(n), "doc_id long, key_a long, key_b long, size int, level int, grams array<long>"), "sketches")
-    least = sketches.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"))
-    members = runtime.written(sketches.select("doc_id", "key_a", "key_b").join(least.where("rep < _last"), ["key_a", "key_b"]).select("rep", "doc_id").distinct(), "members")
-    reps = sketches.select("key_a", "key_b", "doc_id", "size", "level", "grams").join(members.where("rep <> doc_id").select("doc_id"), "doc_id", "left_anti")
-    reps = runtime.written(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "size", "level", "grams"), "reps")
-    roots = runtime.written(components(_edges(reps, threshold)), "roots")
+def _blocks(texts: DataFrame, sets: DataFrame, roots: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """((root, low, high, own, sid, n, grams) sorted by block, whether any block is cut into parts)."""
+    own = sets.join(roots.withColumnRenamed("rep", "key_a"), "key_a")
+    total = own.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_GRAMS).cast("int").alias("parts"))
+    plan = runtime.written(own.join(total, "root").select("root", "parts", "sid", "n", "key_a", "key_b", F.col("first").alias("doc_id")), "plan")
+    is_cut = plan.where("parts > 1").limit(1).count() > 0
+    names = ["root", "parts", "sid", "n", "grams"]
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runtime.parts(batches):
-            sets = [s.tobytes() for s in gram_sets(batch.column(2).to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "rep", "grams"])
-
-    roots = runtime.small_side(roots, 16)  # without a shuffle of the texts while the list of documents is small
-    sets = texts.join(roots.withColumnRenamed("rep", "doc_id"), "doc_id").select("root", "doc_id", "text").mapInArrow(full, "root long, rep long, grams binary")
-    blocks = sets.repartition("root").sortWithinPartitions("root")
-    return members, blocks.mapInArrow(_blocks(n, solve, schema), sql_schema)
-
-
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """``(doc_a, doc_b, jaccard)``, doc_a < doc_b: all pairs at or above the threshold."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
-
-    def solve(ids: list[int], sets: list[np.ndarray]) -> list[tuple]:
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j]), o / (len(sets[i]) + len(sets[j]) - o)) for i, j, o in divide_skip(sets, threshold) if ids[i] != ids[j]]
-
-    members, pairs = _solved(docs, n, threshold, solve, schema, "a long, b long, jaccard double")
-    pairs = runtime.written(pairs, "pairs")
-    equal = members.select("rep", F.col("doc_id").alias("a")).join(members.select("rep", F.col("doc_id").alias("b")), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    others = members.where("rep <> doc_id")
-    left = pairs.unionByName(pairs.join(others, pairs["a"] == others["rep"]).select(F.col("doc_id").alias("a"), "b", "jaccard"))
-    both = left.unionByName(left.join(others, left["b"] == others["rep"]).select("a", F.col("doc_id").alias("b"), "jaccard"))
-    found = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").unionByName(equal).where("a < b")
-    return found.groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+            sets = list(gram_sets(batch.column(6).to_pylist(), n))
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            # a doc_id with several texts meets the plans of all of them: each text keeps its own
+            right = pa.array([len(s) > 0 and set_key(s).tolist() == [x, y] for s, x, y in zip(sets, a, b)])
+            whole = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], names=names)
+            yield whole.filter(right)
+
+    side = runtime.small_side(plan, 56)  # without a shuffle of the texts while the list of documents is small
+    sets = texts.join(side, "doc_id").select("root", "parts", "sid", "n", "key_a", "key_b", "text").mapInArrow(full, "root long, parts int, sid long, n long, grams binary")
+    part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    cut = sets.withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sid", "n", "grams")
+    return cut.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high"), is_cut
+
+
+def _prepared(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(nodes (doc_id, key_a, key_b, size), sets, blocks, whether any is cut)."""
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError(f"threshold {threshold} and n {n}: 0 < threshold <= 1 and n >= 1 are expected")
+    runtime.small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    sketches = runtime.written(texts.mapInArrow(_sketch_rows(n, threshold), SKETCH), "sketches")
+    nodes = sketches.where("size >= 0").select("doc_id", "key_a", "key_b", "size")
+    one = sketches.where("size > 0").groupBy("key_a", "key_b")
+    sets = one.agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("n"), F.first("size").alias("size"), F.first("quota").alias("quota"), F.first("bits").alias("bits"))
+    sets = runtime.written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    owned = _owned(texts.where("text IS NOT NULL"), sketches, sets, n)
+    roots = runtime.written(components(_edges(owned, sets, threshold)), "roots")
+    runtime.drop(owned)
+    blocks, is_cut = _blocks(texts.where("text IS NOT NULL"), sets, roots, n)
+    return nodes, sets, blocks, is_cut
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
+    """(``(doc_id, set_id)``: the documents of each set, ``(set_a, set_b, jaccard)``: all links between different sets)."""
+    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("jaccard", pa.float64())])
+
+    def solve(sid: np.ndarray, members: np.ndarray, own: np.ndarray, cross: bool, sets: list[np.ndarray]) -> list[tuple]:
+        out = []
+        for i, js, overlap in divide_skip(sets, threshold):
+            for j, o in zip(js.tolist(), overlap.tolist()):
+                if not cross or own[i] != own[j]:
+                    a, b = sorted((int(sid[i]), int(sid[j])))
+                    out.append((a, b, o / (len(sets[i]) + len(sets[j]) - o)))
+        return out
+
+    nodes, sets, blocks, _ = _prepared(docs, threshold, n)
+    members = nodes.where("size > 0").join(sets, ["key_a", "key_b"]).select("doc_id", F.col("sid").alias("set_id")).distinct()
+    return members, blocks.mapInArrow(_block_rows(solve, schema), "set_a long, set_b long, jaccard double")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """``(doc_id, class_id, n_links)``: for every document, the least doc_id of its class and the number of its links, copies among them."""
+    schema = pa.schema([("sid", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+
+    def solve(sid: np.ndarray, members: np.ndarray, own: np.ndarray, cross: bool, sets: list[np.ndarray]) -> list[tuple]:
+        count, forest = np.zeros(len(sid), np.int64), Forest(len(sid))
+        for i, js, _ in divide_skip(sets, threshold):
+            js = js[own[js] != own[i]] if cross else js
+            if len(js):
+                count[i] += members[js].sum()
+                count[js] += members[i]
+                forest.join(i, js)
+        root = np.full(len(sid), np.iinfo(np.int64).max)
+        np.minimum.at(root, forest.label, sid)
+        some = count > 0
+        return list(zip(sid[some].tolist(), root[forest.label[some]].tolist(), count[some].tolist()))
+
+    nodes, sets, blocks, is_cut = _prepared(docs, threshold, n)
+    found = runtime.written(blocks.mapInArrow(_block_rows(solve, schema), "sid long, root long, links long"), "links")
+    if is_cut:  # the parts' groups meet in common sets
+        tree = components(found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
+        tree = runtime.written(tree.withColumnRenamed("rep", "sid"), "classes")
+        found = found.groupBy("sid").agg(F.sum("links").alias("links")).join(tree, "sid")
+    named = found.join(sets.select("sid", "first"), "sid").groupBy("root").agg(F.min("first").alias("class_id"))
+    of_set = found.join(named, "root").select("sid", "class_id", "links")
+    known = sets.select("key_a", "key_b", "sid", "first", "n").join(of_set, "sid", "left")
+    known = known.select("key_a", "key_b", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    with_set = nodes.where("size > 0").select("doc_id", "key_a", "key_b").distinct().join(known, ["key_a", "key_b"])
+    without = nodes.where("size = 0").select("doc_id").distinct()
+    return with_set.select("doc_id", "class_id", "n_links").unionByName(without.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """The documents without those that the join connects to a smaller doc_id: the least of each group stays."""
-    schema = pa.schema([("rep", pa.int64())])
-
-    def solve(ids: list[int], sets: list[np.ndarray]) -> list[tuple]:
-        parent = list(range(len(ids)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, j, _ in divide_skip(sets, threshold):
-            a, b = root(i), root(j)
-            if a != b:
-                a, b = (a, b) if ids[a] < ids[b] else (b, a)
-                parent[b] = a
-        return [(ids[i],) for i in range(len(ids)) if ids[root(i)] != ids[i]]
+    """The documents without those whose class has a smaller doc_id: the least of each class stays.
 
-    members, losers = _solved(docs, n, threshold, solve, schema, "rep long")
-    gone = losers.select(F.col("rep").alias("doc_id")).union(members.where("rep <> doc_id").select("doc_id"))
-    gone = runtime.written(gone.distinct(), "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    A doc_id with several texts goes only if each of them is in the class of a smaller doc_id. Rows with a null doc_id and null or
+    empty texts stay; repeated rows go or stay together.
+    """
+    most = classes(docs, threshold, n).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("class_id").alias("_class")).where("_class < _gone")
+    gone = runtime.written(most.select("_gone"), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) END) AS g FROM w WHERE len(w) > 0),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o / (x.n + y.n - o) AS jaccard FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b WHERE o >= {THRESHOLD} * (x.n + y.n - o)
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT o.a, o.b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE o >= {THRESHOLD} * (x.n + y.n - o)),
+r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN c ON c.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id
 """

@@ -40,7 +40,9 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+    """The queries are the rows whose id is divisible by 50, asked against all rows."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, queries=vectors.where(f"vec_id % {topk.QUERY_EVERY} = 0"))
 
 
 def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.jaccard_join(_read(spark, sf_dir, "documents"))
+    return ngramjoin.classes(_read(spark, sf_dir, "documents"))
 
 
 def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -9,18 +10,34 @@ from glossa.llm import ngramjoin as J
 
 def grams(text, n=3):
     w = (text or "").split()
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-
-
-def brute(rows, threshold=J.THRESHOLD):
-    best = {}
-    for (a, x), (b, y) in combinations(rows, 2):
-        if a is not None and b is not None and a != b:
-            s, t = grams(x), grams(y)
-            if s and t and len(s & t) >= threshold * len(s | t) - 1e-12:
-                key = (min(a, b), max(a, b))
-                best[key] = max(best.get(key, 0), len(s & t) / len(s | t))
-    return best
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else (frozenset({tuple(w)}) if w else frozenset())
+
+
+def brute(rows, threshold=J.THRESHOLD, n=3):
+    """({(doc_id, set): (class_id, n_links)}, {frozenset of two sets: jaccard}) by comparing all pairs."""
+    nodes = {(d, grams(t, n)) for d, t in rows if d is not None}
+    ids = defaultdict(set)
+    for d, s in nodes:
+        ids[s].add(d)
+    sets = [s for s in ids if s]
+    near = {frozenset((s, t)): len(s & t) / len(s | t) for s, t in combinations(sets, 2) if len(s & t) >= threshold * len(s | t) - 1e-12}
+    parent = {s: s for s in sets}
+
+    def root(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    count = {s: len(ids[s]) - 1 for s in sets}
+    for pair in near:
+        s, t = pair
+        count[s] += len(ids[t])
+        count[t] += len(ids[s])
+        parent[root(s)] = root(t)
+    least = {}
+    for s in sets:
+        least[root(s)] = min(least.get(root(s), 1 << 60), min(ids[s]))
+    return sorted((d, least[root(s)], count[s]) if s else (d, d, 0) for d, s in nodes), near
 
 
 def corpus(seed, n=120):
@@ -31,16 +48,20 @@ def corpus(seed, n=120):
     for d in range(n):
         if texts and rnd.random() < 0.5:
             w = rnd.choice(texts).split()
-            for _ in range(rnd.randint(0, max(1, len(w) // 12))):
+            for _ in range(rnd.randint(0, max(1, len(w) // 8))):
                 w[rnd.randrange(len(w))] = rnd.choice(words)
         else:
-            w = rnd.choices(words, k=rnd.choice([3, 5, 20, 80, 300, 900]))
+            w = rnd.choices(words, k=rnd.choice([3, 5, 20, 80, 300, 1000]))
             if rnd.random() < 0.3:
                 w += line.split()
         texts.append(" ".join(w))
         rows.append((d, texts[-1]))
-    rows += [rows[8], (905, rows[9][1]), (906, rows[9][1])]
-    return rows
+    # repeated rows, copies under other ids, and ids with two texts of which one is another's
+    return rows + [rows[8], rows[8], (905, rows[9][1]), (906, rows[9][1]), (7, rows[20][1]), (907, rows[30][1]), (907, rows[40][1]), (907, None)]
+
+
+def found(docs, **k):
+    return sorted(tuple(r) for r in J.classes(docs, **k).collect())
 
 
 def test_divide_skip_is_exact():
@@ -54,7 +75,7 @@ def test_divide_skip_is_exact():
             s[:change] = rng.integers(0, 200, change)
             sets.append(np.unique(s[: rng.integers(1, 31)]).astype(np.uint64))
         t = rng.choice([0.3, 0.5, 0.8, 1.0])
-        got = {(i, j): o for i, j, o in J.divide_skip(sets, t)}
+        got = {(min(i, j), max(i, j)): o for i, js, os in J.divide_skip(sets, t) for j, o in zip(js.tolist(), os.tolist())}
         want = {}
         for i, j in combinations(range(len(sets)), 2):
             o = len(np.intersect1d(sets[i], sets[j]))
@@ -63,33 +84,77 @@ def test_divide_skip_is_exact():
         assert got == want
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_against_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed, threshold, n", [(1, 0.5, 3), (2, 0.2, 3), (3, 0.8, 3), (4, 0.5, 1), (5, 1.0, 2)])
+def test_classes_and_counts_against_all_pairs(spark, seed, threshold, n):
     rows = corpus(seed)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS key", "0 AS rep")
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_join(docs).collect()}
-    want = brute(rows)
-    assert set(got) <= set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in got)
-    assert len(got) >= 0.97 * len(want)
-    assert {p for p, s in want.items() if s > 0.6} <= set(got)
-
-
-def test_one_of_each_group_stays(spark):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS key_a", "0 AS sid", "1 AS n", "'r' AS root")
+    assert found(docs, threshold=threshold, n=n) == brute(rows, threshold, n)[0]
+
+
+def test_every_link_against_all_pairs(spark):
+    rows = corpus(6)
+    members, links = J.links(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {d: grams(t) for d, t in rows[6:126]}
+    sets = {r.set_id: of[r.doc_id] for r in members.collect() if r.doc_id in of and r.doc_id != 7}
+    got = {frozenset((sets[r.set_a], sets[r.set_b])): r.jaccard for r in links.collect()}
+    want = brute(rows)[1]
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_hot_keys_are_cut(spark, monkeypatch):
+    """The same result with hot n-grams set apart, owners and blocks in parts, and many hash parts."""
+    rows = corpus(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = found(docs)
+    for name, value in (("HOT_LEAST", 16), ("GROUP", 3), ("BLOCK_GRAMS", 500), ("PART_GRAMS", 2000)):
+        monkeypatch.setattr(J, name, value)
+    sketches = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(J._sketch_rows(3, 0.5), J.SKETCH)
+    assert len(J.hot_grams(sketches, 100))
+    assert found(docs) == want == brute(rows)[0]
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5])
+def test_links_at_the_very_threshold(spark, threshold):
+    rows, size = [], 1000
+    for i in range(100):
+        w = [f"{i}x{j}" for j in range(size + 2)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: int(size * threshold) + 2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs, threshold=threshold) == sorted((d, d // 2 * 2, 1) for d, _ in rows)
+    assert found(docs, threshold=threshold + 0.001) == sorted((d, d, 0) for d, _ in rows)
+
+
+def test_a_group_of_thousands(spark):
+    """Near copies of one text and exact copies of another: one class each, every link counted."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:57] + [f"e{i}a", f"e{i}b"])) for i in range(1500)] + [(5000 + i, " ".join(base[::-1])) for i in range(1500)]
+    rnd.shuffle(rows)
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == sorted([(i, 0, 1499) for i in range(1500)] + [(5000 + i, 5000, 1499) for i in range(1500)])
+
+
+def test_very_long_and_related_words(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = " ".join(f"l{i}" for i in range(60_000))
+    rows = [(1, f"{word} x y z"), (2, f"{other} x y z"), (3, word), (4, other), (5, long), (6, long + " end"), (7, "x" * 500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == brute(rows)[0]
+    assert found(docs)[2:4] == [(3, 3, 0), (4, 4, 0)]
+
+
+def test_one_of_each_class_stays(spark):
     rows = corpus(3)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _last string")
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in sorted({(r.doc_a, r.doc_b) for r in J.jaccard_join(docs).collect()}):
-        a, b = sorted((root(a), root(b)))
-        parent[b] = a
+    most = defaultdict(int)
+    for d, c, _ in brute(rows)[0]:
+        most[d] = max(most[d], c)
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(((r.doc_id or -1), r.text or "") for r in kept.collect()) == sorted((d or -1, t or "") for d, t in rows if d is None or root(d) == d)
+    assert sorted(((r.doc_id or -1), r.text or "") for r in kept.collect()) == sorted((d or -1, t or "") for d, t in rows if d is None or most[d] == d)
 
 
 def test_components(spark):
@@ -109,16 +174,11 @@ def test_components(spark):
     assert got == {i: root(i) for i in parent}
 
 
-def test_empty_table(spark):
+def test_edges(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert J.jaccard_join(docs).count() == 0 and J.keep_one(docs).count() == 0
-
-
-def test_contained_sets_at_the_threshold(spark):
-    rows = []
-    for i in range(300):
-        w = [f"{i}x{j}" for j in range(1002)]
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:502]))]
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) <= {(2 * i, 2 * i + 1) for i in range(300)} and set(got.values()) == {0.5}
-    assert len(got) >= 0.97 * 300, len(got)
+    assert J.classes(docs).count() == 0 and J.keep_one(docs).count() == 0
+    nulls = spark.createDataFrame([(None, None), (1, None), (None, "a b c")], "doc_id long, text string")
+    assert found(nulls) == [(1, 1, 0)] and J.keep_one(nulls).count() == 3
+    for bad in ({"threshold": 0}, {"threshold": 1.5}, {"n": 0}):
+        with pytest.raises(ValueError):
+            J.classes(docs, **bad)

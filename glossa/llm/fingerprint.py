@@ -8,17 +8,19 @@ last sign then stands for all the rest).
 
 Two fingerprints compare where a block size is common to them: 100 * (1 - edit distance / longer length), rounded down, the
 best of the common sizes; runs of one sign count three at most, and signatures without a common 7-gram score 0.
-``pairs`` finds all pairs of documents that score at least ``LEAST_SCORE``, ``compared`` every document's best partner only: equal fingerprints are one, candidates share a 7-gram at the same block
-size, and the edit distance of each candidate pair is computed once a common run, by bit vectors over many pairs at a time. No
-candidate is capped; the pairs of a passage that n documents share are n * n / 2, cut into groups for many tasks.
+``classes`` gives every document's class and number of links, ``links`` the links between fingerprints. Equal fingerprints are one,
+equal signatures of unlike fingerprints are one in the comparison; candidates share a 7-gram at the same block
+size, and the edit distance of each candidate pair of signatures is computed once a common run, by bit vectors over many pairs at a
+time. No candidate is capped; a 7-gram that n signatures share is cut into groups for many tasks. Copies are not expanded into pairs;
+links between unlike fingerprints are rows in between, for each counts once whichever block sizes show it.
 
 Rolling and chunk hashes are numpy passes over whole texts in one mapInArrow without a shuffle; only fingerprints and
 7-gram hashes are shuffled for the comparison.
 
-Edge cases: a null text has a null fingerprint and no partner; an empty text has ``3::`` and is compared only with equal
-ones; very long texts are hashed whole; repeated rows of one doc_id and rows with a null doc_id have their fingerprints but
-are no partners of themselves; ties of the score go to the least doc_id; an empty table gives an empty table; columns other
-than doc_id and text are not read.
+Edge cases: a null text has a null fingerprint, no link and a class of its own; an empty text has ``3::`` and is linked only with
+equal ones; very long texts are hashed whole; equal rows are one document, rows of one doc_id with unlike fingerprints
+are documents of their own and may be linked; rows with a null doc_id are left out by ``classes``; ties do not arise, for all links
+count; an empty table gives an empty table; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm import runtime, textops
+from glossa.llm.graph import components
 
 WINDOW, LONG, LEAST_BLOCK = 7, 64, 3
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -165,18 +168,11 @@ def _masks(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares all pairs of each group (rows sorted by key, low, high); gives each row's best partner of the batch."""
-    for rows in _scored(batches, 1, _first_best):
-        rows = _first_best(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], names=["rep", "score", "id"])
-
-
 def _pair_rows(least: int):
-    """The same, but gives every pair that scores ``least`` or more, low document first."""
+    """Compares all pairs of each group (rows sorted by key, low, high); gives the pairs that score ``least`` or more, the lower number first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _scored(batches, least, lambda rows: rows[:, rows[0] < rows[2]]):
+        for rows in _scored(batches, least):
             for i in range(0, rows.shape[1], PAIRS):
                 a, s, b = rows[:, i : i + PAIRS]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s.astype(np.int32)), pa.array(b)], names=["a", "score", "b"])
@@ -184,8 +180,8 @@ def _pair_rows(least: int):
     return run
 
 
-def _scored(batches: Iterator[pa.RecordBatch], least: int, taken) -> Iterator[np.ndarray]:
-    """Rows (document, score, partner) of each batch of whole groups: what ``taken`` leaves of each part's pairs, both ways round."""
+def _scored(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[np.ndarray]:
+    """Rows (signature, score, signature) of each batch of whole groups, each pair once."""
 
     def solve(table: pa.Table) -> np.ndarray:
         key, low, high, own, rep, pos = (table.column(i).to_numpy() for i in range(6))
@@ -215,8 +211,7 @@ def _scored(batches: Iterator[pa.RecordBatch], least: int, taken) -> Iterator[np
             d = edit_distances(sign[x], size[sign[x]], masks, codes[sign[y]], size[sign[y]])
             score = (100 * longer - 100 * d) // longer
             x, y, score = rep[x][score >= least], rep[y][score >= least], score[score >= least]
-            both = np.array([np.append(x, y), np.append(score, score), np.append(y, x)])
-            found.append(taken(both))
+            found.append(np.array([np.minimum(x, y), score, np.maximum(x, y)]))
         return np.concatenate(found, axis=1)
 
     rest: pa.Table | None = None
@@ -232,58 +227,59 @@ def _scored(batches: Iterator[pa.RecordBatch], least: int, taken) -> Iterator[np
         yield solve(rest)
 
 
-def _first_best(rows: np.ndarray) -> np.ndarray:
-    """Of rows (document, score, partner), each document's with the highest score, the least partner among equals."""
-    sort = np.lexsort((rows[2], -rows[1], rows[0]))
-    rows = rows[:, sort]
-    return rows[:, np.append(True, rows[0, 1:] != rows[0, :-1])[: rows.shape[1]]]
-
-
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(fingerprints of all rows, those that can have partners, groups of equal ones, rows of the 7-gram groups to compare)."""
-    prints = runtime.written(fingerprint(docs), "fingerprints")
-    known = prints.where("doc_id IS NOT NULL AND fingerprint IS NOT NULL").distinct()
-    groups = known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    groups = runtime.written(groups, "groups")
-    signs = groups.select("rep", F.explode(signatures(F.col("fingerprint"))).alias("s")).select("rep", "s.block", "s.sign")
-    at = F.posexplode(_grams(F.col("sign"))).alias("pos", "g")
-    keyed = signs.select(at, "rep", "block").select(F.xxhash64("block", "g").alias("key"), "pos", "rep", "block")
+def _prepared(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes (doc_id, fingerprint), groups (fid, fingerprint, first, n), members (sid, fid), pairs of signatures (a, b, score)), written."""
+    runtime.small_batches(docs.sparkSession)
+    prints = runtime.written(fingerprint(docs.where("doc_id IS NOT NULL")), "fingerprints")
+    nodes = prints.distinct()
+    groups = nodes.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    groups = runtime.written(groups.withColumn("fid", F.monotonically_increasing_id()), "groups")
+    # signatures too short for a 7-gram score nothing
+    held = groups.select("fid", F.explode(signatures(F.col("fingerprint"))).alias("s")).select("fid", "s.block", "s.sign").where(F.length("sign") >= GRAM)
+    signs = runtime.written(held.select("block", "sign").distinct().withColumn("sid", F.monotonically_increasing_id()), "signatures")
+    members = runtime.written(held.join(signs, ["block", "sign"]).select("sid", "fid"), "members")
+    keyed = signs.select(F.posexplode(_grams(F.col("sign"))).alias("pos", "g"), "sid", "block").select(F.xxhash64("block", "g").alias("key"), "pos", "sid")
     counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     # A list longer than GROUP is cut into parts, and every two of its parts are a group: no task holds a whole hot list.
     parts = F.ceil(F.col("n") / GROUP).cast("int")
-    cut = counted.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "block", "pos")
-    rows = cut.join(signs, ["rep", "block"]).select("key", "low", "high", "own", "rep", "pos", "sign")
+    cut = counted.withColumn("own", F.pmod(F.xxhash64("sid"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cut = cut.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sid", "pos")
+    rows = cut.join(signs.select("sid", "sign"), "sid").select("key", "low", "high", "own", "sid", "pos", "sign")
     groups_in = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return prints, known, groups, groups_in
+    scored = groups_in.mapInArrow(_pair_rows(least), "a long, score int, b long").groupBy("a", "b").agg(F.max("score").alias("score"))
+    return nodes, groups, members, runtime.written(scored, "scored")
 
 
-def pairs(docs: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
-    """``(doc_a, doc_b, score)``, doc_a < doc_b: all pairs of documents that score ``least`` (1 or more) or above.
+def _linked(members: DataFrame, scored: DataFrame) -> DataFrame:
+    """``(a, b, score)``, a < b: the links between unlike fingerprints, by fid."""
+    side = lambda x: members.select(F.col("sid").alias(x), F.col("fid").alias(f"f_{x}"))
+    near = scored.join(side("a"), "a").join(side("b"), "b").where("f_a <> f_b").select("f_a", "f_b", "score")
+    equal = side("a").join(side("b").withColumnRenamed("b", "a"), "a").where("f_a < f_b").select("f_a", "f_b", F.lit(100).alias("score"))
+    both = near.unionByName(equal).select(F.least("f_a", "f_b").alias("a"), F.greatest("f_a", "f_b").alias("b"), "score")
+    return both.groupBy("a", "b").agg(F.max("score").alias("score"))
 
-    Each pair of fingerprints is compared once a common run, and stands for all pairs of the documents that have them.
+
+def links(docs: DataFrame, least: int = LEAST_SCORE) -> tuple[DataFrame, DataFrame]:
+    """(``(doc_id, fingerprint)``: all documents, ``(fingerprint_a, fingerprint_b, score)``: the links between unlike fingerprints)."""
+    nodes, groups, members, scored = _prepared(docs, least)
+    side = lambda x: groups.select(F.col("fid").alias(x), F.col("fingerprint").alias(f"fingerprint_{x}"))
+    return nodes, _linked(members, scored).join(side("a"), "a").join(side("b"), "b").select("fingerprint_a", "fingerprint_b", "score")
+
+
+def classes(docs: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+    """``(doc_id, fingerprint, class_id, n_links, best_score)``: for every document the least doc_id of its class, the number of documents
+    that score ``least`` (1 or more) with it or above, copies among them, and the best of those scores.
     """
-    _, known, _, groups_in = _grouped(docs)
-    scored = groups_in.mapInArrow(_pair_rows(least), "a long, score int, b long").groupBy("a", "b").agg(F.max("score").alias("score"))
-    members = known.withColumn("rep", F.min("doc_id").over(Window.partitionBy("fingerprint"))).select("rep", "doc_id")
-    members = runtime.written(members, "members")
-    side = lambda x: members.select(F.col("rep").alias(x), F.col("doc_id").alias(f"doc_{x}"))
-    near = scored.join(side("a"), "a").join(side("b"), "b").where("doc_a <> doc_b")
-    equal = side("a").join(side("b").withColumnRenamed("b", "a"), "a").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(100).alias("score"))
-    near = near.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "score")
-    return near.unionByName(equal).groupBy("doc_a", "doc_b").agg(F.max("score").alias("score"))
-
-
-def compared(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, match_id, score)``: each document's best partner, null where none scores above 0."""
-    prints, known, groups, groups_in = _grouped(docs)
-    best = groups_in.mapInArrow(_best_rows, "rep long, score int, id long").groupBy("rep").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("m"))
-    # the least document of the best equal fingerprint, or of one's own
-    second = known.join(groups.where("rep < last"), "fingerprint").where("doc_id > rep").groupBy("rep").agg(F.min("doc_id").alias("second"))
-    plan = groups.join(best, "rep", "left").join(second, "rep", "left").select("fingerprint", "rep", "second", "m")
-    out = prints.join(plan, "fingerprint", "left")
-    other = F.when(F.col("doc_id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
-    twin = F.col("second").isNotNull() & F.col("doc_id").isNotNull()
-    match = F.when(F.col("doc_id").isNull(), None).when(twin & (F.col("m").isNull() | (F.col("m.score") < 100)), other).when(twin, F.least(other, -F.col("m.id"))).otherwise(-F.col("m.id"))
-    value = F.when(F.col("doc_id").isNull(), None).when(twin, F.lit(100)).otherwise(F.col("m.score"))
-    return out.select("doc_id", "fingerprint", match.cast("long").alias("match_id"), value.cast("int").alias("score"))
+    nodes, groups, members, scored = _prepared(docs, least)
+    pairs = runtime.written(_linked(members, scored), "pairs")
+    both = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    others = both.join(groups.select(F.col("fid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"), F.max("score").alias("best"))
+    # Components need no pairs: fingerprints (even numbers) hang together by their signatures (odd ones) and those by their scores.
+    edges = members.select((F.col("fid") * 2).alias("a"), (F.col("sid") * 2 + 1).alias("b")).unionByName(scored.select((F.col("a") * 2 + 1).alias("a"), (F.col("b") * 2 + 1).alias("b")))
+    tree = runtime.written(components(edges).where("rep % 2 = 0").select((F.col("rep") / 2).cast("long").alias("fid"), "root"), "classes")
+    named = tree.join(groups.select("fid", "first"), "fid").groupBy("root").agg(F.min("first").alias("class_id"))
+    known = groups.join(tree.join(named, "root").select("fid", "class_id"), "fid", "left").join(others.withColumnRenamed("a", "fid"), "fid", "left")
+    count = F.coalesce("others", F.lit(0)) + F.col("n") - 1
+    known = known.select("fingerprint", F.coalesce("class_id", "first").alias("class_id"), count.alias("n_links"), F.when(F.col("n") > 1, 100).otherwise(F.col("best")).alias("best_score"))
+    out = nodes.join(known, "fingerprint", "left")
+    return out.select("doc_id", "fingerprint", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("best_score").cast("int").alias("best_score"))

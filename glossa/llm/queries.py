@@ -24,11 +24,7 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.pairs(_read(spark, sf_dir, "documents"))
-
-
-def best_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compared(_read(spark, sf_dir, "documents"))
+    return fingerprint.classes(_read(spark, sf_dir, "documents"))
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +59,6 @@ QUERIES = {
     "op2_line_dedup": line_dedup,
     "op3_byte_bpe": byte_bpe,
     "op4_fingerprints": fingerprints,
-    "op4_best_partners": best_partners,
     "op5_mix_sources": mix_sources,
     "op6_url_filter": url_filter,
     "op7_top_k": exact_top_k,

@@ -33,18 +33,27 @@ def score(f, g):
     return best
 
 
-def brute(rows):
-    out, prints = [], dict(enumerate(P.fingerprints([t for _, t in rows])))
-    for i, (d, t) in enumerate(rows):
-        best = None
-        for j, (e, _) in enumerate(rows):
-            f, g = prints[i], prints[j]
-            if d is not None and e is not None and d != e and f is not None and g is not None:
-                s = 100 if f == g else score(f, g)
-                if s and (best is None or (-s, e) < best):
-                    best = (-s, e)
-        out.append((d if d is not None else -1, prints[i] or "", best[1] if best else None, -best[0] if best else None))
-    return sorted(out, key=str)
+def brute(rows, least):
+    """Sorted rows of ``classes`` and the links between unlike fingerprints, by comparing all pairs."""
+    nodes = {(d, f) for (d, _), f in zip(rows, P.fingerprints([t for _, t in rows])) if d is not None}
+    prints = sorted({f for _, f in nodes if f is not None})
+    near = {(f, g): s for i, f in enumerate(prints) for g in prints[i + 1 :] if (s := score(f, g)) >= least}
+    ids = {f: [d for d, g in nodes if g == f] for f in prints}
+    parent = {f: f for f in prints}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    count, best = {f: len(ids[f]) - 1 for f in prints}, {f: 100 if len(ids[f]) > 1 else None for f in prints}
+    for (f, g), s in near.items():
+        parent[root(f)] = root(g)
+        for x, y in ((f, g), (g, f)):
+            count[x] += len(ids[y])
+            best[x] = max(best[x] or 0, s)
+    least_id = {r: min(d for f in prints if root(f) == r for d in ids[f]) for r in {root(f) for f in prints}}
+    return sorted(((d, f or "", least_id[root(f)], count[f], best[f]) if f is not None else (d, "", d, 0, None) for d, f in nodes), key=str), near
 
 
 def corpus(seed, n=60):
@@ -93,14 +102,28 @@ def test_boundaries_follow_content():
     assert all(len(x) <= 64 for t in ("a" * 10, text, text * 30) for x in P.fingerprints([t])[0].split(":")[1:])
 
 
-@pytest.mark.parametrize("group", [P.GROUP, 3])
-def test_partners_against_all_pairs(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, least", [(P.GROUP, P.LEAST_SCORE), (3, 1)])
+def test_classes_and_links_against_all_pairs(spark, monkeypatch, group, least):
     monkeypatch.setattr(P, "GROUP", group)
     rows = corpus(group)
-    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, sign string").repartition(3)
-    got = [(r.doc_id if r.doc_id is not None else -1, r.fingerprint or "", r.match_id, r.score) for r in P.compared(docs).collect()]
-    assert sorted(got, key=str) == brute(rows)
-    assert P.compared(docs.limit(0)).count() == 0
+    rows += [(4, rows[9][1]), (205, rows[9][1][:-1] + "q"), (206, rows[9][1] + " qq")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, sign string, n int").repartition(3)
+    want, near = brute(rows, least)
+    got = [(r.doc_id, r.fingerprint or "", r.class_id, r.n_links, r.best_score) for r in P.classes(docs, least).collect()]
+    assert sorted(got, key=str) == want
+    nodes, links = P.links(docs, least)
+    found = links.collect()
+    assert {tuple(sorted((r.fingerprint_a, r.fingerprint_b))): r.score for r in found} == near and len(found) == len(near)
+    assert {(r.doc_id, r.fingerprint or "") for r in nodes.collect()} == {(r[0], r[1]) for r in want}
+    assert P.classes(docs.limit(0), least).count() == 0
+
+
+def test_a_group_of_copies_is_one(spark):
+    rows = corpus(9, 8)
+    docs = spark.createDataFrame([(1000 + i, rows[i % 2][1]) for i in range(3000)] + [(i, None) for i in range(3)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.best_score) for r in P.classes(docs).collect())
+    alike = score(*P.fingerprints([rows[0][1], rows[1][1]])) >= P.LEAST_SCORE
+    assert got == [(i, i, 0, None) for i in range(3)] + [(1000 + i, 1000 + (0 if alike else i % 2), 2999 if alike else 1499, 100) for i in range(3000)]
 
 
 def test_column_score(spark):
@@ -108,19 +131,3 @@ def test_column_score(spark):
     pairs = spark.createDataFrame([(f, g) for f in prints for g in prints], "f string, g string")
     for r in pairs.select("f", "g", P.score(P.signatures(pairs["f"]), P.signatures(pairs["g"])).alias("s")).collect():
         assert r.s == score(r.f, r.g)
-
-
-@pytest.mark.parametrize("group,least", [(P.GROUP, P.LEAST_SCORE), (3, 1)])
-def test_all_pairs(spark, monkeypatch, group, least):
-    monkeypatch.setattr(P, "GROUP", group)
-    rows = corpus(group)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    prints, want = P.fingerprints([t for _, t in rows]), {}
-    for (d, _), f in zip(rows, prints):
-        for (e, _), g in zip(rows, prints):
-            if None not in (d, e, f, g) and d < e and (s := 100 if f == g else score(f, g)) >= least:
-                want[d, e] = max(s, want.get((d, e), 0))
-    found = P.pairs(docs, least).collect()
-    assert {(r.doc_a, r.doc_b): r.score for r in found} == want and len(found) == len(want)
-    best = {frozenset((r.doc_id, r.match_id)) for r in P.compared(docs).collect() if r.match_id is not None}
-    assert set(map(frozenset, want)) - best and P.pairs(docs.limit(0)).count() == 0

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.base import written
+
 
 class LSHScheme:
     def __init__(self, functions: int, tables: int) -> None:
@@ -46,22 +48,25 @@ class LSHForest(LSHScheme):
     then, until there are k, all at the next shorter prefix.
 
     Prefix lengths are taken from bucket sizes first: at the longest prefix where one table alone has k ids, the union over
-    tables has as many, so ids with shorter prefixes cannot be needed and are never joined.
+    tables has as many, so ids with shorter prefixes cannot be needed and are never joined. Sizes are summed from whole keys (at most
+    2 ** functions a table, however many ids there are), and the index's rows are cut only at the lengths that some query needs.
     """
 
-    def _prefixes(self, rows: DataFrame) -> DataFrame:
-        depth = F.explode(F.sequence(F.lit(0), F.lit(self.functions))).alias("depth")
+    @staticmethod
+    def _prefixes(rows: DataFrame, depths: list[int]) -> DataFrame:
+        depth = F.explode(F.array(*map(F.lit, depths))).alias("depth")
         return rows.select("*", depth).withColumn("prefix", F.expr("substring(band_key, 1, depth)"))
 
     def candidates(self, buckets: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
-        at = ["table_no", "depth", "prefix"]
-        index = self._prefixes(buckets)
-        asked = self._prefixes(self.put(queries).withColumnRenamed("id", "query_id"))
-        sizes = index.groupBy(*at).agg(F.count_distinct("id").alias("n"))
-        enough = asked.join(sizes.where(F.col("n") >= k), at).groupBy("query_id").agg(F.max("depth").alias("least"))
+        at, every = ["table_no", "depth", "prefix"], list(range(self.functions + 1))
+        keys = buckets.groupBy("table_no", "band_key").agg(F.count("*").alias("n"))
+        sizes = self._prefixes(keys, every).groupBy(*at).agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+        asked = self.put(queries).withColumnRenamed("id", "query_id")
+        enough = self._prefixes(asked, every).join(sizes, at).groupBy("query_id").agg(F.max("depth").alias("least"))
         # without a table of k ids at any length, the root (all ids) is the last resort
-        used = asked.join(enough, "query_id", "left").where(F.col("depth") == F.coalesce("least", F.lit(0)))
-        shared = used.withColumnRenamed("band_key", "asked_key").join(index, at)
+        used = written(asked.join(enough, "query_id", "left").withColumn("depth", F.coalesce("least", F.lit(0))).withColumn("prefix", F.expr("substring(band_key, 1, depth)")), "asked")
+        depths = sorted(r[0] for r in used.select("depth").distinct().collect()) or [0]
+        shared = used.withColumnRenamed("band_key", "asked_key").join(self._prefixes(buckets, depths), at)
         longest = F.length(F.regexp_extract(F.concat_ws(" ", "asked_key", "band_key"), r"^([01]*)[01]* \1", 1))
         best = shared.groupBy("query_id", "id").agg(F.max(longest).alias("lcp"))
         ranked = best.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("lcp"))))

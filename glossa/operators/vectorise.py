@@ -10,16 +10,16 @@ from pyspark.sql import types as T
 
 from glossa.functions.murmur import murmur3_udf
 from glossa.functions.tokenise import Tokeniser
-from glossa.operators.base import Step, fitted, written
+from glossa.operators.base import Step, fitted, small, written
 
 
 def indexed(terms: DataFrame, order: str, name: str = "term_idx") -> DataFrame:
     """``terms`` numbered from 0 in the order of a sortable column that is unique.
 
-    The table is sorted by ranges; each partition's rows are numbered by their place in it and the count of rows before
+    The terms are written first, for a partitioning by ranges reads its input twice. The table is sorted by ranges; each partition's rows are numbered by their place in it and the count of rows before
     that partition, so no task sees all rows. Only the counts of the partitions reach the driver.
     """
-    placed = terms.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    placed = written(terms, "terms").repartitionByRange(F.col(order)).sortWithinPartitions(order)
     placed = written(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "terms")
     before, total = [], 0
     for r in placed.groupBy("_part").count().orderBy("_part").collect():
@@ -32,7 +32,7 @@ def indexed(terms: DataFrame, order: str, name: str = "term_idx") -> DataFrame:
 class CountVectoriser(Step):
     """Counts of the terms met at ``fit``, which are numbered by first occurrence: by doc_id, then place in the text.
 
-    Other terms are dropped at ``transform``. Documents without terms have no rows in the long form; ``documents`` keeps them.
+    Other terms are dropped at ``transform``. Documents without terms have no rows in the long form; a ``Pipeline`` counts them.
     Fitting again replaces the vocabulary.
     """
 
@@ -40,21 +40,30 @@ class CountVectoriser(Step):
         self.tokeniser = tokeniser or Tokeniser(stop_words)
         self.vocabulary: DataFrame | None = None
 
+    def _number(self, first: DataFrame) -> None:
+        self.vocabulary = written(indexed(first, "first").select("term", "term_idx"), "vocabulary")
+
     def fit(self, df: DataFrame) -> CountVectoriser:
         tokens = self.tokeniser.for_each_in(df)
-        first = tokens.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-        self.vocabulary = written(indexed(first, "first").select("term", "term_idx"), "vocabulary")
+        self._number(tokens.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def _looked_up(self, counts: DataFrame) -> DataFrame:
         vocabulary = fitted(self.vocabulary, "the vectoriser")
-        # Counting first: the join then sees each term of a document once.
-        counts = self.tokeniser.for_each_in(df).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("value"))
-        return counts.join(vocabulary, "term").select("doc_id", "term_idx", "value")
+        longest = vocabulary.agg(F.max(F.octet_length("term"))).first()[0] or 0
+        return counts.join(small(vocabulary, longest + 40), "term").select("doc_id", "term_idx", "value")
 
-    @staticmethod
-    def documents(df: DataFrame) -> DataFrame:
-        return df.select("doc_id").distinct()
+    def transform(self, df: DataFrame) -> DataFrame:
+        # Counting first: the join then sees each term of a document once.
+        fitted(self.vocabulary, "the vectoriser")
+        return self._looked_up(self.tokeniser.for_each_in(df).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("value")))
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Texts are cut once: the written counts, with each term's first place, give the vocabulary too."""
+        counts = self.tokeniser.for_each_in(df).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("value"), F.min("pos").alias("pos"))
+        counts = written(counts, "counts")
+        self._number(counts.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
+        return self._looked_up(counts)
 
 
 class HashingVectoriser(Step):

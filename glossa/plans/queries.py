@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import cells, measures
 from glossa.functions.tokenise import Tokeniser
-from glossa.operators.base import shared_dir, written
+from glossa.operators.base import shared_dir, spread, written
 from glossa.operators.decompose import PCA, TruncatedSVD
 from glossa.operators.index import LinearScanIndex, LSHIndex
 from glossa.operators.lda import LatentDirichletAllocation
@@ -47,11 +47,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return spread(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")), "id")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that searches ask with: every row whose id is divisible by 50, against all rows."""
+    return vectors(spark, sf_dir).where("id % 50 = 0")
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -66,11 +75,12 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 _TOKENS = r"t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents), k AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS term FROM t)"
 _VOCABULARY = _TOKENS + ", f AS (SELECT term, min(doc_id * 1000000000 + pos) AS first FROM k GROUP BY term), v AS (SELECT term, row_number() OVER (ORDER BY first) - 1 AS term_idx FROM f)"
 _COUNTS = _VOCABULARY + ", m AS (SELECT doc_id, term_idx, CAST(count(*) AS DOUBLE) AS value FROM k JOIN v USING (term) GROUP BY ALL)"
-_IDF = "i AS (SELECT term_idx, ln((1 + (SELECT count(DISTINCT doc_id) FROM m)) / (1.0 + count(*))) AS idf FROM m GROUP BY term_idx)"
+_IDF = "i AS (SELECT term_idx, ln((1 + (SELECT count(DISTINCT doc_id) FROM documents)) / (1.0 + count(*))) AS idf FROM m GROUP BY term_idx)"
 _HOLDOUT = (
-    _TOKENS
-    + ", e AS (SELECT k.* FROM k JOIN documents USING (doc_id) WHERE lang = 'en'), f AS (SELECT term, min(doc_id * 1000000000 + pos) AS first FROM e GROUP BY term)"
-    + ", v AS (SELECT term, row_number() OVER (ORDER BY first) - 1 AS term_idx FROM f), m AS (SELECT doc_id, term_idx, CAST(count(*) AS DOUBLE) AS value FROM k JOIN v USING (term) GROUP BY ALL)"
+    r"t AS MATERIALIZED (SELECT doc_id, lang, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents)"
+    + ", k AS MATERIALIZED (SELECT doc_id, lang, unnest(range(len(t))) AS pos, unnest(t) AS term FROM t), f AS (SELECT term, min(doc_id * 1000000000 + pos) AS first FROM k WHERE lang = 'en' GROUP BY term)"
+    + ", v AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY first) - 1 AS term_idx FROM f)"
+    + ", m AS MATERIALIZED (SELECT doc_id, lang, term_idx, CAST(count(*) AS DOUBLE) AS value FROM k JOIN v USING (term) GROUP BY ALL)"
 )
 _MATRIX = "SELECT doc_id, CAST(term_idx AS INTEGER) AS term_idx, value FROM m"
 
@@ -104,8 +114,7 @@ def count_vectorise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_HOLDOUT} {_MATRIX}")
 def count_vectorise_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on the English documents, applied to all: terms that those lack are dropped."""
-    english = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    return CountVectoriser().fit(english).transform(documents(spark, sf_dir))
+    return CountVectoriser().fit(english(spark, sf_dir)).transform(documents(spark, sf_dir))
 
 
 def _sql_murmur(term: str) -> str:
@@ -135,32 +144,55 @@ def hashing_vectorise(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- weighting ------------------------------------------------------------------------------------------------
 
 
+def _idf(docs: DataFrame) -> Tfidf:
+    weighting = Tfidf()
+    Pipeline(CountVectoriser(), weighting).fit(docs)
+    return weighting
+
+
 @query(f"WITH {_COUNTS}, {_IDF} SELECT CAST(term_idx AS INTEGER) AS term_idx, round(idf, 6) AS idf FROM i")
 def idf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(Tfidf().fit(CountVectoriser().fit_transform(documents(spark, sf_dir))).idf, "idf")
+    return rounded(_idf(documents(spark, sf_dir)).idf, "idf")
+
+
+@query(f"WITH {_COUNTS}, {_IDF} SELECT CAST(term_idx AS INTEGER) AS term_idx, round(idf, 6) AS idf FROM i".replace("lower(text)", "lower(CASE WHEN lang = 'en' THEN text ELSE '!!!' END)"))
+def idf_empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts in other languages than English are emptied: documents without a term still count."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).otherwise("!!!").alias("text"))
+    return rounded(_idf(spread(docs, "doc_id")).idf, "idf")
 
 
 @query(f"WITH {_COUNTS}, {_IDF} SELECT doc_id, CAST(term_idx AS INTEGER) AS term_idx, round(value * idf, 6) AS value FROM m JOIN i USING (term_idx)")
 def tfidf_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = written(CountVectoriser().fit_transform(documents(spark, sf_dir)), "counts")
-    return rounded(Tfidf().fit_transform(counts), "value")
+    return rounded(Pipeline(CountVectoriser(), Tfidf()).fit_transform(documents(spark, sf_dir)), "value")
 
 
 @query(
-    f"""WITH {_HOLDOUT}, n AS (SELECT m.* FROM m JOIN documents USING (doc_id) WHERE lang = 'en'),
-    i AS (SELECT term_idx, ln((1 + (SELECT count(DISTINCT doc_id) FROM n)) / (1.0 + count(*))) AS idf FROM n GROUP BY term_idx)
+    f"""WITH {_HOLDOUT}, i AS (SELECT term_idx, ln((1 + (SELECT count(DISTINCT doc_id) FROM documents WHERE lang = 'en')) / (1.0 + count(*))) AS idf FROM m WHERE lang = 'en' GROUP BY term_idx)
     SELECT doc_id, CAST(term_idx AS INTEGER) AS term_idx, round(value * idf, 6) AS value FROM m JOIN i USING (term_idx)"""
 )
 def tfidf_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    english = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    fitted = Pipeline(CountVectoriser(), Tfidf()).fit(english)
+    fitted = Pipeline(CountVectoriser(), Tfidf()).fit(english(spark, sf_dir))
+    return rounded(fitted.transform(documents(spark, sf_dir)), "value")
+
+
+@query(
+    rf"""WITH t AS MATERIALIZED (SELECT doc_id, lang, regexp_extract_all(lower(text), '\p{{L}}+') AS t FROM documents), k AS (SELECT doc_id, lang, unnest(t) AS term FROM t),
+    c AS MATERIALIZED (SELECT doc_id, lang, term, count(*) AS n FROM k GROUP BY ALL), d AS (SELECT DISTINCT term FROM c), {_sql_murmur('term')},
+    m AS MATERIALIZED (SELECT doc_id, lang, hash % {FEATURES} AS term_idx, CAST(sum(c.n) AS DOUBLE) AS value FROM c JOIN hashed USING (term) GROUP BY ALL),
+    n AS (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE lang = 'en'), i AS (SELECT term_idx, ln((1 + (SELECT n FROM n)) / (1.0 + count(*))) AS idf FROM m WHERE lang = 'en' GROUP BY term_idx)
+    SELECT doc_id, CAST(term_idx AS INTEGER) AS term_idx, round(value * coalesce(idf, ln(1 + (SELECT n FROM n))), 6) AS value FROM m LEFT JOIN i USING (term_idx)"""
+)
+def tfidf_unseen_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed terms, weighted as in the English documents; those that none of them has weigh most."""
+    fitted = Pipeline(HashingVectoriser(FEATURES), Tfidf()).fit(english(spark, sf_dir))
     return rounded(fitted.transform(documents(spark, sf_dir)), "value")
 
 
 @query(ORACLES["idf_fit"])
 def tfidf_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tfidf-{spark.sparkContext.applicationId}"
-    Tfidf().fit(CountVectoriser().fit_transform(documents(spark, sf_dir))).save(path)
+    _idf(documents(spark, sf_dir)).save(path)
     return rounded(Tfidf.load(spark, path).idf, "idf")
 
 
@@ -248,9 +280,9 @@ k AS (SELECT vec_id, t, substr(bits, t * {functions} + 1, {functions}) AS key FR
 
 
 _BITS, _KEYS = _signed(10, BITS // 10), _signed(FUNCTIONS, TABLES)
-_CANDIDATES = "c AS (SELECT DISTINCT q.vec_id AS query_id, k.vec_id AS id FROM k q JOIN k USING (t, key))"
+_CANDIDATES = "c AS (SELECT DISTINCT q.vec_id AS query_id, k.vec_id AS id FROM k q JOIN k USING (t, key) WHERE q.vec_id % 50 = 0)"
 _LCP = f"list_max(list_transform(range(0, {FUNCTIONS + 1}), lambda n: CASE WHEN substr(q.key, 1, n) = substr(k.key, 1, n) THEN n ELSE 0 END))"
-_FOREST = f"""o AS (SELECT q.vec_id AS query_id, k.vec_id AS id, max({_LCP}) AS lcp FROM k q JOIN k USING (t) GROUP BY ALL),
+_FOREST = f"""o AS (SELECT q.vec_id AS query_id, k.vec_id AS id, max({_LCP}) AS lcp FROM k q JOIN k USING (t) WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 g AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY lcp DESC) AS r FROM o), c AS (SELECT query_id, id FROM g WHERE r <= {NEAREST} OR lcp = {FUNCTIONS})"""
 
 
@@ -274,47 +306,25 @@ def _hasher(bits: int = BITS) -> SimHash:
 
 
 def _lsh(spark: SparkSession, sf_dir: str, approx: bool, scheme) -> LSHIndex:
-    return LSHIndex(approx, _hasher(FUNCTIONS * TABLES), scheme, _round_first(measures.cosine_distance)).index(vectors(spark, sf_dir))
-
-
-_CENTROIDS = _MEANS + ", q AS (SELECT label AS query_id, b FROM l)"
+    distance = None if approx else _round_first(measures.cosine_distance)
+    return LSHIndex(approx, _hasher(FUNCTIONS * TABLES), scheme, distance).index(vectors(spark, sf_dir))
 
 
-def _label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _means(spark, sf_dir).select(F.col("label").alias("id"), F.col("b").alias("vec")).distinct()
+_ASKED = _MEANS + ", q AS (SELECT vec_id AS query_id, a AS b FROM e WHERE vec_id % 50 = 0)"
 
 
-@query(f"WITH {_CENTROIDS}, c AS (SELECT query_id, vec_id AS id, round(1 - list_cosine_similarity(b, a), 9) AS x FROM q, e), {_ranked('x')}")
+@query(f"WITH {_ASKED}, c AS (SELECT query_id, vec_id AS id, round(1 - list_cosine_similarity(b, a), 9) AS x FROM q, e), {_ranked('x')}")
 def linear_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of all vectors to each label's mean."""
     index = LinearScanIndex(_round_first(measures.cosine_distance)).index(vectors(spark, sf_dir))
-    return _found(index.search(_label_means(spark, sf_dir), NEAREST))
+    return _found(index.search(asked(spark, sf_dir), NEAREST))
 
 
-@query(f"WITH {_CENTROIDS}, c AS (SELECT query_id, vec_id AS id, round(list_distance(b, a), 9) AS x FROM q, e WHERE label <> 3), {_ranked('x')}")
+@query(f"WITH {_ASKED}, c AS (SELECT query_id, vec_id AS id, round(list_distance(b, a), 9) AS x FROM q, e WHERE label <> 3), {_ranked('x')}")
 def linear_scan_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by Euclidean distance, after one label's vectors were removed."""
-    gone = read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
-    index = LinearScanIndex(_round_first(measures.euclidean_distance)).index(vectors(spark, sf_dir)).remove(gone)
-    return _found(index.search(_label_means(spark, sf_dir), NEAREST))
-
-
-_EVERY = _MEANS + ", q AS (SELECT vec_id AS query_id, a AS b FROM e)"
-
-
-@query(f"WITH {_EVERY}, c AS (SELECT query_id, vec_id AS id, round(1 - list_cosine_similarity(b, a), 9) AS x FROM q, e), {_ranked('x')}")
-def linear_scan_topk_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of all vectors to every vector."""
-    index = LinearScanIndex(_round_first(measures.cosine_distance)).index(vectors(spark, sf_dir))
-    return _found(index.search(vectors(spark, sf_dir), NEAREST))
-
-
-@query(f"WITH {_EVERY}, c AS (SELECT query_id, vec_id AS id, round(list_distance(b, a), 9) AS x FROM q, e WHERE label <> 3), {_ranked('x')}")
-def linear_scan_remove_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by Euclidean distance, after one label's vectors were removed; they still ask."""
+    """By Euclidean distance, after one label's vectors were removed; they still ask."""
     gone = read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
     index = LinearScanIndex(_round_first(measures.euclidean_distance)).index(vectors(spark, sf_dir)).remove(gone)
-    return _found(index.search(vectors(spark, sf_dir), NEAREST))
+    return _found(index.search(asked(spark, sf_dir), NEAREST))
 
 
 @query(f"WITH {_BITS} SELECT vec_id AS id, bits FROM s")
@@ -337,7 +347,7 @@ def srp_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_KEYS}, {_CANDIDATES} SELECT * FROM c")
 def lsh_classic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lsh(spark, sf_dir, True, ClassicLSH(FUNCTIONS, TABLES)).candidates(vectors(spark, sf_dir), NEAREST)
+    return _lsh(spark, sf_dir, True, ClassicLSH(FUNCTIONS, TABLES)).candidates(asked(spark, sf_dir), NEAREST)
 
 
 _PAIR_COSINE = ", p AS (SELECT query_id, id, round(1 - list_cosine_similarity(x.a, y.a), 9) AS x FROM c JOIN e x ON x.vec_id = query_id JOIN e y ON y.vec_id = id), "
@@ -346,28 +356,28 @@ _PAIR_HAMMING = f", p AS (SELECT query_id, id, list_sum(list_transform(range(1,
 
 @query(f"WITH {_KEYS}, {_CANDIDATES}{_PAIR_COSINE}{_ranked('x', 'p')}")
 def lsh_classic_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(_lsh(spark, sf_dir, False, ClassicLSH(FUNCTIONS, TABLES)).search(vectors(spark, sf_dir), NEAREST))
+    return _found(_lsh(spark, sf_dir, False, ClassicLSH(FUNCTIONS, TABLES)).search(asked(spark, sf_dir), NEAREST))
 
 
 @query(f"WITH {_KEYS}, {_CANDIDATES}{_PAIR_HAMMING}{_ranked('x', 'p')}")
 def lsh_classic_search_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(_lsh(spark, sf_dir, True, ClassicLSH(FUNCTIONS, TABLES)).search(vectors(spark, sf_dir), NEAREST))
+    return _found(_lsh(spark, sf_dir, True, ClassicLSH(FUNCTIONS, TABLES)).search(asked(spark, sf_dir), NEAREST))
 
 
 @query(f"WITH {_KEYS}, {_CANDIDATES}{_PAIR_COSINE.replace('y.vec_id = id)', 'y.vec_id = id WHERE y.label <> 3)')}{_ranked('x', 'p')}")
 def lsh_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = read(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
-    return _found(_lsh(spark, sf_dir, False, ClassicLSH(FUNCTIONS, TABLES)).remove(gone).search(vectors(spark, sf_dir), NEAREST))
+    return _found(_lsh(spark, sf_dir, False, ClassicLSH(FUNCTIONS, TABLES)).remove(gone).search(asked(spark, sf_dir), NEAREST))
 
 
 @query(f"WITH {_KEYS}, {_FOREST} SELECT * FROM c")
 def lsh_forest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lsh(spark, sf_dir, True, LSHForest(FUNCTIONS, TABLES)).candidates(vectors(spark, sf_dir), NEAREST)
+    return _lsh(spark, sf_dir, True, LSHForest(FUNCTIONS, TABLES)).candidates(asked(spark, sf_dir), NEAREST)
 
 
 @query(f"WITH {_KEYS}, {_FOREST}{_PAIR_COSINE}{_ranked('x', 'p')}")
 def lsh_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(_lsh(spark, sf_dir, False, LSHForest(FUNCTIONS, TABLES)).search(vectors(spark, sf_dir), NEAREST))
+    return _found(_lsh(spark, sf_dir, False, LSHForest(FUNCTIONS, TABLES)).search(asked(spark, sf_dir), NEAREST))
 
 
 # ---- random projections ---------------------------------------------------------------------------------------
@@ -424,14 +434,22 @@ def ri_partial_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(model.components(), "value")
 
 
-@query(f"WITH {_COUNTS}, {_COMPS}, {_DOC_SIGNS}, {_CONTEXTS}, {_REFLECT} {_COMPONENTS.replace("6)", "3)")} c1")
+_UNITS = "SELECT CAST(term_idx AS INTEGER) AS term_idx, CAST(comp AS INTEGER) AS comp, CAST(value AS BIGINT) AS units FROM c1"
+
+
+def _units(model: RandomIndexing) -> DataFrame:
+    """Components in units of the scale: whole numbers, compared to the last digit."""
+    return model.components().select("term_idx", "comp", F.round(F.col("value") / model.scale).cast("long").alias("units"))
+
+
+@query(f"WITH {_COUNTS}, {_COMPS}, {_DOC_SIGNS}, {_CONTEXTS}, {_REFLECT} {_UNITS}")
 def rri_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(RandomIndexing(K, DENSITY, reflections=1, seed=SEED).fit(_counts(spark, sf_dir)).components(), "value", digits=3)
+    return _units(RandomIndexing(K, DENSITY, reflections=1, seed=SEED).fit(_counts(spark, sf_dir)))
 
 
-@query(f"WITH {_COUNTS}, {_COMPS}, {_TERM_SIGNS}, c0 AS (SELECT term_idx, comp, sign AS value FROM g WHERE sign <> 0), {_REFLECT} {_COMPONENTS.replace("6)", "3)")} c1")
+@query(f"WITH {_COUNTS}, {_COMPS}, {_TERM_SIGNS}, c0 AS (SELECT term_idx, comp, sign AS value FROM g WHERE sign <> 0), {_REFLECT} {_UNITS}")
 def rri_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(RandomIndexing(K, DENSITY, TERM_BASED, 1, SEED).fit(_counts(spark, sf_dir)).components(), "value", digits=3)
+    return _units(RandomIndexing(K, DENSITY, TERM_BASED, 1, SEED).fit(_counts(spark, sf_dir)))
 
 
 @query(
@@ -468,6 +486,41 @@ def pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PCA(10).fit_transform(vectors(spark, sf_dir)).select("id", F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
 
 
+_LENGTHS = "SELECT vec_id AS id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS squares FROM embeddings"
+
+
+@query(_LENGTHS)
+def pca_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components are a turn of the axes: a vector's squared scores add up to its squared length."""
+    scores = PCA(64).fit_transform(vectors(spark, sf_dir))
+    return rounded(scores.select("id", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x).alias("squares")), "squares")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product FROM range(64) a(i), range(64) b(j)")
+def pca_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the components with each other."""
+    c = PCA(64).fit(vectors(spark, sf_dir)).components()
+    products = c.T @ c
+    rows = [(i, j, float(products[i, j])) for i in range(64) for j in range(64)]
+    return rounded(spark.createDataFrame(rows, "i int, j int, product double"), "product")
+
+
+@query(_LENGTHS)
+def svd_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the singular vectors of the embeddings, all of them."""
+    entries = vectors(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode("vec").alias("term_idx", "value"))
+    scores = TruncatedSVD(64).fit_transform(entries)
+    return rounded(scores.groupBy(F.col("doc_id").alias("id")).agg(F.sum(F.col("value") * F.col("value")).alias("squares")), "squares")
+
+
+@query("SELECT round(sum(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS squares FROM embeddings")
+def svd_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squared singular values add up to the squared entries."""
+    entries = vectors(spark, sf_dir).select(F.col("id").alias("doc_id"), F.posexplode("vec").alias("term_idx", "value"))
+    found = TruncatedSVD(64).fit(entries).singular_values
+    return rounded(spark.createDataFrame([(float((found**2).sum()),)], "squares double"), "squares", digits=4)
+
+
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Pipeline(CountVectoriser(*STOP_WORDS), Tfidf()).fit_transform(documents(spark, sf_dir))
 
@@ -500,12 +553,13 @@ def svd_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_distinct("doc_id").alias("vectors"), F.bool_and(close).alias("projected_alike"))
 
 
-TOPICS, LDA_ITERATIONS = 8, 10
+#: Far fewer iterations and passes than the defaults (1000 and 500), but enough for each rule that ends them to be tried.
+TOPICS, LDA = 8, {"iterations": 60, "transformation_passes": 60, "batch_size": 500}
 
 
 def _lda(spark: SparkSession, sf_dir: str) -> tuple[LatentDirichletAllocation, DataFrame]:
     counts = written(CountVectoriser(*STOP_WORDS).fit_transform(documents(spark, sf_dir)), "counts")
-    return LatentDirichletAllocation(TOPICS, LDA_ITERATIONS, transformation_passes=10), counts
+    return LatentDirichletAllocation(TOPICS, **LDA), counts
 
 
 @query()
@@ -520,17 +574,34 @@ def lda_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(model.fit(counts).transform(counts), "prob")
 
 
+@query(f"SELECT CAST(topic AS INTEGER) AS topic, 1.0::DOUBLE AS total FROM range({TOPICS}) t(topic)")
+def lda_topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, counts = _lda(spark, sf_dir)
+    return rounded(model.fit(counts).components(spark).groupBy("topic").agg(F.sum("prob").alias("total")), "total")
+
+
+@query("WITH t AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\\p{L}+')) AS n FROM documents) SELECT doc_id, 1.0::DOUBLE AS total FROM t WHERE n > 0")
+def lda_mixture_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = written(CountVectoriser().fit_transform(documents(spark, sf_dir)), "counts")
+    mixtures = LatentDirichletAllocation(TOPICS, **LDA).fit_transform(counts)
+    return rounded(mixtures.groupBy("doc_id").agg(F.sum("prob").alias("total")), "total")
+
+
 @query()
 def lda_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = _lda(spark, sf_dir)
     return spark.createDataFrame([(model.fit(counts).perplexity(counts),)], "perplexity double")
 
 
+BANDS = 97
+
+
 @query(
-    f"WITH {_COUNTS}, {_IDF}, y AS (SELECT doc_id, term_idx, value * idf AS y FROM m JOIN i USING (term_idx)) SELECT doc_id, round(sum(y * y), 6) AS value FROM y GROUP BY doc_id"
+    f"""WITH {_COUNTS}, {_IDF}, y AS (SELECT doc_id, term_idx, value * idf AS y FROM m JOIN i USING (term_idx))
+    SELECT doc_id, CAST(term_idx % {BANDS} AS INTEGER) AS band, round(sum(y * (1 + term_idx % 7)), 6) + 0.0 AS value FROM y GROUP BY ALL"""
 )
-def gram_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse product of the weighted matrix with itself by document: its diagonal, the squared lengths."""
+def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse product of the weighted documents with a matrix of terms by bands."""
     weighted = written(Pipeline(CountVectoriser(), Tfidf()).fit_transform(documents(spark, sf_dir)), "weighted")
-    keyed = weighted.select("doc_id", F.concat_ws(":", "doc_id", "term_idx").alias("cell"), "value")
-    return rounded(sparse_matmul(keyed, keyed.withColumnRenamed("doc_id", "other"), "cell", "doc_id", "other").select("doc_id", "value"), "value")
+    bands = weighted.select("term_idx").distinct().select("term_idx", (F.col("term_idx") % BANDS).alias("band"), (1 + F.col("term_idx") % 7).cast("double").alias("value"))
+    return rounded(sparse_matmul(weighted, bands, "term_idx", "doc_id", "band"), "value")

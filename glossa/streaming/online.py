@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from glossa.operators.randproj import RandomIndexing, random_rows
 from glossa.operators.vectorise import HashingVectoriser
 
+CONTEXTS = "term_idx int, comp int, value double"
+
 
 def context_stream(docs: DataFrame, vectoriser: HashingVectoriser, k: int, density: float, seed: int = 0) -> DataFrame:
     """Running ``(term_idx, comp, value)`` sums of a stream of documents, in units of the projection's scale.
@@ -22,15 +25,23 @@ def context_stream(docs: DataFrame, vectoriser: HashingVectoriser, k: int, densi
 
 
 def fit_online(docs: DataFrame, vectoriser: HashingVectoriser, model: RandomIndexing, checkpoint: str) -> StreamingQuery:
-    """Starts a query that hands every micro-batch to ``model.partial_fit``; the caller stops it.
+    """Starts a query that adds every micro-batch to the model's term vectors; the caller stops it.
 
-    A micro-batch that is delivered again after a failure is told by its number and left out.
+    Each batch's contexts are written beside the checkpoint under the batch's number, and the vectors are the sum of what
+    stands there: a batch that is delivered again replaces itself, and a new driver goes on where the last one ended.
     """
-    seen: set[int] = set()
+    spark, folder = docs.sparkSession, f"{checkpoint.rstrip('/')}-contexts"
+
+    def summed() -> None:
+        try:
+            held = spark.read.schema(CONTEXTS).parquet(f"{folder}/batch=*")
+        except AnalysisException:  # no batch has been written
+            return
+        model._vectors = held.groupBy("term_idx", "comp").agg(F.sum("value").alias("value"))
 
     def add(batch: DataFrame, number: int) -> None:
-        if number not in seen:
-            model.partial_fit(vectoriser.transform(batch))
-            seen.add(number)
+        model.contexts(vectoriser.transform(batch)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        summed()
 
+    summed()
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,7 @@ def recall(spark, name, gone=()):
     near = x @ x.T
     np.fill_diagonal(near, -np.inf)
     near[:, [r.label in gone for r in rows]] = -np.inf
-    want = {(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in np.argsort(-near[i])[:9]}
+    want = {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(ids % 50 == 0) for j in np.argsort(-near[i])[:9]}
     got = {(r.query_id, r.id) for r in entry.queries()[name](spark, SF).select("query_id", "id").collect()}
     return len(want & got) / len(want)
 

@@ -21,9 +21,110 @@ def made(seed, n):
     return texts, np.array(labels)
 
 
+def table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+
+def made_model(spark, texts, labels, **k):
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, quality int")
+    return Q.fit_from(table(spark, texts), marks, **k)
+
+
 @pytest.fixture(scope="module")
-def model():
-    return Q.fit(*made(1, 700))
+def model(spark):
+    return made_model(spark, *made(1, 700))
+
+
+def cut(text):
+    """(token, class) runs by a walk over the characters."""
+    out, last = [], None
+    for c in text:
+        kind = Q.textops.classes()[ord(c)]
+        if kind == Q.textops.SPACE:
+            last = None
+            continue
+        if kind == last:
+            out[-1] += c
+        else:
+            out.append(c)
+        last = kind
+    return out
+
+
+def test_against_a_slow_computation(spark):
+    """Word vectors, pooling, network, temperature and probability by plain loops over tokens, rows and weights."""
+    texts, labels = made(6, 40)
+    texts += [None, "", "solo", "É!! 12 12"]
+    share = 1 / 300
+    docs = [cut(t or "") for t in texts]
+    total = sum(map(len, docs))
+    number = {}
+    for d in docs:
+        for w in d:
+            number[w] = number.get(w, 0) + 1
+    index = {w: Q.index_vectors(Q.tokens([w])[0])[0].astype(float) for w in number}
+    vectors = {}
+    for w in number:
+        v = np.zeros(Q.DIM)
+        for d in docs:
+            for i, x in enumerate(d):
+                if x == w:
+                    for j in range(max(0, i - Q.WINDOW), min(len(d), i + Q.WINDOW + 1)):
+                        v += index[d[j]]
+        vectors[w] = v / np.linalg.norm(v) if number[w] >= share * total and v.any() else v if number[w] >= share * total else index[w] / Q.DIM**0.5
+    pooled = []
+    for d in docs:
+        mean = sum((vectors[w] for w in d), np.zeros(Q.DIM)) / max(1, len(d))
+        pooled.append([*mean, np.linalg.norm(mean)])
+    pooled = np.array(pooled)
+    marks = [*labels.tolist(), 1, 0, 1, 0]
+    model = made_model(spark, texts, marks, min_share=share)
+    assert 0 < len(model.vocab) < len(number)
+    assert np.allclose(model.pool([t or "" for t in texts]), pooled, atol=1e-5)
+
+    rng = np.random.default_rng(0)
+    order = rng.permutation(len(pooled)).tolist()
+    held, train = order[: len(order) // 5], order[len(order) // 5 :]
+    x = np.float64(np.float32(model.pool([t or "" for t in texts])))
+    mean = [sum(x[r][c] for r in train) / len(train) for c in range(Q.DIM + 1)]
+    scale = [(sum((x[r][c] - mean[c]) ** 2 for r in train) / len(train)) ** 0.5 + 1e-6 for c in range(Q.DIM + 1)]
+    z = np.array([[(v - m) / s for v, m, s in zip(row, mean, scale)] for row in x])
+    p = [rng.normal(0, 1 / np.sqrt(Q.DIM), (Q.DIM + 1, Q.HIDDEN)), np.zeros(Q.HIDDEN), rng.normal(0, 1 / np.sqrt(Q.HIDDEN), Q.HIDDEN), np.zeros(1)]
+
+    def forward(row):
+        hidden = [max(0.0, float(row @ p[0][:, h] + p[1][h])) for h in range(Q.HIDDEN)]
+        return hidden, sum(a * b for a, b in zip(hidden, p[2])) + p[3][0]
+
+    one, two = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    for step in range(1, 301):
+        grad = [1e-4 * p[0], np.zeros_like(p[1]), 1e-4 * p[2], np.zeros_like(p[3])]
+        for r in train:
+            hidden, logit = forward(z[r])
+            d = (1 / (1 + np.exp(-logit)) - marks[r]) / len(train)
+            grad[3] = grad[3] + d
+            for h in range(Q.HIDDEN):
+                grad[2][h] += hidden[h] * d
+                if hidden[h] > 0:
+                    grad[1][h] += d * p[2][h]
+                    grad[0][:, h] += z[r] * d * p[2][h]
+        for i in range(4):
+            one[i] = 0.9 * one[i] + 0.1 * grad[i]
+            two[i] = 0.999 * two[i] + 0.001 * grad[i] ** 2
+            p[i] = p[i] - 0.02 * (one[i] / (1 - 0.9**step)) / (np.sqrt(two[i] / (1 - 0.999**step)) + 1e-8)
+    logits = np.array([forward(row)[1] for row in z])
+    assert np.allclose(model.logits(x), logits, atol=1e-4 * max(1, np.abs(logits).max()))
+    sign = np.where(np.array(marks) > 0, 1, -1)
+    losses = {t: np.mean([np.log1p(np.exp(-sign[r] * logits[r] / t)) for r in held]) for t in np.geomspace(0.25, 8, 41)}
+    assert model.temperature == pytest.approx(min(losses, key=losses.get))
+    assert np.allclose(model.probability([t or "" for t in texts]), 1 / (1 + np.exp(-np.clip(logits / model.temperature, -50, 50))), atol=1e-4)
+
+
+def test_the_fit_does_not_depend_on_the_order_of_rows(spark):
+    texts, labels = made(7, 200)
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, quality int")
+    rows = [*enumerate(texts), (3, texts[4]), (3, "another text"), (5, texts[5])]
+    models = [Q.fit_from(spark.createDataFrame(r, "doc_id long, text string").repartition(n), marks) for r, n in ((rows, 1), (rows[::-1], 4))]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].weights, models[1].weights)) and np.array_equal(models[0].vectors, models[1].vectors)
 
 
 def test_held_out_accuracy_and_calibration(model):
@@ -42,8 +143,8 @@ def test_pooling_does_not_depend_on_the_batch(model):
     assert np.array_equal(whole, model.probability(texts)) and len(model.probability([])) == 0
 
 
-def test_one_class_rejects_nothing():
-    assert (Q.fit(["a b", "c"], np.array([1, 1])).probability(["junk!!", ""]) == 1).all()
+def test_one_class_rejects_nothing(spark):
+    assert (made_model(spark, ["a b", "c"], [1, 1]).probability(["junk!!", ""]) == 1).all()
 
 
 def test_tables(spark):

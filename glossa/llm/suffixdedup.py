@@ -13,12 +13,17 @@ passage through them. All occurrences of a window thus meet in the bucket of its
 is exact, and equal stretches enter the transform once. Shuffled are anchor hashes, the texts (once, by doc_id) and the
 stretches' word hashes.
 
+Hot keys: an owner of anchors with more than ``OWNER_DOCS`` occurrences has its anchors dealt to several buckets. An anchor that more than
+``HOT_DOCS`` rows have (a license that a third of all documents carry) is put in no bucket: the windows through it are compared
+by 128-bit hashes in a plain aggregation, which finds the same windows.
+
 A word is a run of characters other than white space, compared by a 64-bit hash. The result has one row for each maximal
-range of words: (doc_id, start_word, end_word, first_copy). ``first_copy`` ranges are those that stay: their windows occur in
+range of words: (doc_id, text_id, start_word, end_word, first_copy), where text_id is the text's 64-bit hash. ``first_copy`` ranges are those that stay: their windows occur in
 no smaller doc_id; the others are what a dedup cuts (``cut_repeats``).
 
 Edge cases: null and empty texts and texts under ``min_words`` words have no ranges; rows with a null doc_id are left out;
-rows of one doc_id are one document, so they do not repeat each other, nor does a passage repeat within its document;
+rows of one doc_id are one document, so they do not repeat each other, nor does a passage repeat within its document; ranges are words
+of the text that text_id names, so unlike texts of one doc_id are cut each by its own; equal rows have their ranges once;
 ties do not arise (ids order the copies); an empty table gives an empty result; other columns are not read.
 """
 
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from glossa.llm import runtime, textops
 
 MIN_WORDS, ANCHOR_WORDS = 50, 16
+HOT_DOCS, OWNER_DOCS = 1 << 13, 1 << 14
 BATCH_WORDS = 1 << 19
 _MAX = np.uint64(2**64 - 1)
 
@@ -178,8 +184,8 @@ def _anchor_rows(least: int, k: int):
 def _stretch_rows(least: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            pairs = batch.column(2)
+            ids, names, texts = (batch.column(i).to_pylist() for i in range(3))
+            pairs = batch.column(3)
             bounds = pairs.offsets.to_numpy()
             flat = pairs.values
             known, owners = flat.field(0).to_numpy().view(np.uint64), flat.field(1).to_numpy()
@@ -206,19 +212,46 @@ def _stretch_rows(least: int, k: int):
                     at = np.flatnonzero(new)
                     ends = high[np.append(at[1:], len(pos)) - 1]
                     for o, s, e in zip(own[at].tolist(), low[at].tolist(), ends.tolist()):
-                        out.append((o, ids[base + d], s - first[d], h[s:e].tobytes()))
+                        out.append((o, ids[base + d], names[base + d], s - first[d], h[s:e].tobytes()))
                 if out:
-                    o, i, s, w = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(i, pa.int64()), pa.array(np.array(s, np.int64)), pa.array(w, pa.binary())], names=["owner", "doc_id", "start", "words"])
+                    o, i, t, s, w = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(i, pa.int64()), pa.array(t, pa.int64()), pa.array(np.array(s, np.int64)), pa.array(w, pa.binary())], names=["owner", "doc_id", "text_id", "start", "words"])
+
+    return run
+
+
+def _window_rows(least: int, k: int):
+    """``(a, b, doc_id, text_id, start)``: two hashes of every window through the anchors given with a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, names = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            texts, known = batch.column(2).to_pylist(), batch.column(3)
+            bounds, flat = known.offsets.to_numpy(), known.values.to_numpy().view(np.uint64)
+            for base, group in textops.slices(texts):
+                h, _, _, first, _ = textops.words(group)
+                where, hashes = anchors(h, first, least, k)
+                doc = np.searchsorted(first, where, side="right") - 1
+                a = textops.ngrams(h, first, least)[0]
+                b, fits = textops.ngrams(textops.mix(h ^ _MAX), first, least)
+                hot = np.zeros(len(h), bool)
+                for d in range(len(group)):
+                    mine = doc == d
+                    for x in where[mine][np.isin(hashes[mine], flat[bounds[base + d] : bounds[base + d + 1]])].tolist():
+                        hot[max(x - (least - k), first[d]) : x + 1] = True
+                at = np.flatnonzero(hot & fits)
+                of = np.searchsorted(first, at, side="right") - 1
+                columns = [a[at].view(np.int64), b[at].view(np.int64), ids[base + of], names[base + of], at - first[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "doc_id", "text_id", "start"])
 
     return run
 
 
 def _bucket_rows(least: int):
     """Transforms whole owners' stretches, about ``BATCH_WORDS`` words at a time; input is sorted by owner."""
-    names = ["doc_id", "start", "stop", "cut"]
+    names = ["doc_id", "text_id", "start", "stop", "cut"]
 
-    def solve(segments: dict[bytes, list[tuple[int, int]]]) -> pa.RecordBatch:
+    def solve(segments: dict[bytes, list[tuple[int, int, int]]]) -> pa.RecordBatch:
         # Equal stretches enter once, as the least and, if there is another, the largest of their documents.
         unique = list(segments.items())
         docs, arrays, source = [], [], []
@@ -237,22 +270,22 @@ def _bucket_rows(least: int):
         key, start, cut = key[sort], start[sort], cut[sort]
         keep = np.append(True, (key[1:] != key[:-1]) | (start[1:] != start[:-1]))[: len(key)]
         key, start, cut = key[keep], start[keep], cut[keep]
-        out: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+        out: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
         if len(key):
             new = np.append(True, (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1) | (cut[1:] != cut[:-1]))
             at = np.flatnonzero(new)
             stop = start[np.append(at[1:], len(key)) - 1] + 1
             for u, s, e, c in zip(key[at].tolist(), start[at].tolist(), stop.tolist(), cut[at].tolist()):
                 members = np.array(unique[u][1], np.int64)
-                out.append(np.column_stack([members[:, 0], members[:, 1] + s, members[:, 1] + e, (members[:, 0] != least_doc[u]) | c]))
+                out.append(np.column_stack([members[:, 0], members[:, 1], members[:, 2] + s, members[:, 2] + e, (members[:, 0] != least_doc[u]) | c]))
         rows = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(bool))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4].astype(bool))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[bytes, list[tuple[int, int]]] = {}
+        segments: dict[bytes, list[tuple[int, int, int]]] = {}
         size, last = 0, None
         for batch in batches:
-            for o, d, s, w in zip(*(c.to_pylist() for c in batch.columns)):
+            for o, d, t, s, w in zip(*(c.to_pylist() for c in batch.columns)):
                 if o != last and size >= BATCH_WORDS:
                     yield solve(segments)
                     segments, size = {}, 0
@@ -260,7 +293,7 @@ def _bucket_rows(least: int):
                 if w not in segments:
                     segments[w] = []
                     size += len(w) // 8
-                segments[w].append((d, s))
+                segments[w].append((d, t, s))
         if segments:
             yield solve(segments)
 
@@ -295,36 +328,48 @@ def _range_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for d, t, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 cut = union([(r["start"], r["stop"]) for r in rows if r["cut"]])
                 rest = minus(union([(r["start"], r["stop"]) for r in rows if not r["cut"]]), cut)
                 for kept, starts in ((False, cut), (True, rest)):
-                    out += [(d, s, e, kept) for s, e in union([(s, e - 1 + least) for s, e in starts])]
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())], names=["doc_id", "start_word", "end_word", "first_copy"])
+                    out += [(d, t, s, e, kept) for s, e in union([(s, e - 1 + least) for s, e in starts])]
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], names=["doc_id", "text_id", "start_word", "end_word", "first_copy"])
 
     return run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """``(doc_id, start_word, end_word, first_copy)``: the ranges of words that other documents have too."""
+    """``(doc_id, text_id, start_word, end_word, first_copy)``: the ranges of words that other documents have too."""
     k = min(anchor_words, min_words)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = runtime.written(texts.mapInArrow(_anchor_rows(min_words, k), "anchor long, doc_id long"), "anchors")
-    owned = found.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last")).where("owner < _last").drop("_last")
-    wanted = found.join(owned, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "owner")).alias("pairs"))
-    stretches = texts.join(wanted, "doc_id").mapInArrow(_stretch_rows(min_words, k), "owner long, doc_id long, start long, words binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = runtime.written(texts.select("doc_id", "text").mapInArrow(_anchor_rows(min_words, k), "anchor long, doc_id long"), "anchors")
+    owned = found.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last"), F.count("*").alias("n"))
+    owned = runtime.written(owned.where("owner < _last").drop("_last"), "owned")
+    cool, hot = owned.where(F.col("n") <= HOT_DOCS), owned.where(F.col("n") > HOT_DOCS).select("anchor")
+    parts = cool.groupBy("owner").agg(F.ceil(F.sum("n") / OWNER_DOCS).cast("int").alias("parts"))
+    bucket = F.xxhash64("owner", F.pmod(F.xxhash64("anchor"), F.col("parts")))
+    cool = cool.join(parts, "owner").select("anchor", bucket.alias("owner"))
+    wanted = found.join(cool, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "owner")).alias("pairs"))
+    stretches = texts.join(wanted, "doc_id").select("doc_id", "text_id", "text", "pairs").mapInArrow(_stretch_rows(min_words, k), "owner long, doc_id long, text_id long, start long, words binary")
     buckets = stretches.repartition("owner").sortWithinPartitions("owner")
-    windows = buckets.mapInArrow(_bucket_rows(min_words), "doc_id long, start long, stop long, cut boolean")
-    per_doc = windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "cut")).alias("rows"))
-    return per_doc.mapInArrow(_range_rows(min_words), "doc_id long, start_word long, end_word long, first_copy boolean")
+    windows = buckets.mapInArrow(_bucket_rows(min_words), "doc_id long, text_id long, start long, stop long, cut boolean")
+    if hot.limit(1).count():
+        given = found.join(hot, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+        given = texts.join(given, "doc_id").select("doc_id", "text_id", "text", "anchors").distinct()
+        rows = runtime.written(given.mapInArrow(_window_rows(min_words, k), "a long, b long, doc_id long, text_id long, start long"), "windows")
+        shared = rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        hot_windows = rows.join(shared, ["a", "b"]).select("doc_id", "text_id", "start", (F.col("start") + 1).alias("stop"), (F.col("doc_id") > F.col("least")).alias("cut"))
+        windows = windows.unionByName(hot_windows)
+    per_text = windows.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "stop", "cut")).alias("rows"))
+    return per_text.mapInArrow(_range_rows(min_words), "doc_id long, text_id long, start_word long, end_word long, first_copy boolean")
 
 
 def cut_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """The documents without the words of their later copies (``first_copy`` false); white space around a cut becomes one blank."""
-    if "_cuts" in docs.columns:
-        raise ValueError("reserved column name: _cuts")
-    cuts = passages.where(~F.col("first_copy")).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
+    if clash := {"_cuts", "_doc", "_text"} & set(docs.columns):
+        raise ValueError(f"reserved column names: {sorted(clash)}")
+    cuts = passages.where(~F.col("first_copy")).groupBy(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,4 +391,5 @@ def cut_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts").mapInArrow(run, schema)
+    same = (docs["doc_id"] == cuts["_doc"]) & (F.xxhash64(docs["text"]) == cuts["_text"])
+    return docs.join(cuts, same, "left").select(*docs.columns, "_cuts").mapInArrow(run, schema)

@@ -61,8 +61,15 @@ def brute(rows, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_spread_search_is_exact(spark, seed):
+def ranges(found):
+    return sorted((r.doc_id, r.start_word, r.end_word, r.first_copy) for r in found.collect())
+
+
+@pytest.mark.parametrize("seed, hot, owner", [(1, S.HOT_DOCS, S.OWNER_DOCS), (2, 5, 4), (3, 1, 1)])
+def test_spread_search_is_exact(spark, monkeypatch, seed, hot, owner):
+    """Also with hot anchors compared by windows and owners in parts."""
+    monkeypatch.setattr(S, "HOT_DOCS", hot)
+    monkeypatch.setattr(S, "OWNER_DOCS", owner)
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(30)]
     passages = [rnd.choices(words, k=rnd.randint(5, 40)) for _ in range(6)]
@@ -75,8 +82,7 @@ def test_spread_search_is_exact(spark, seed):
         rows.append((d, " ".join(text)))
     rows += [rows[10], rows[11], (500, rows[12][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "'o' AS owner")
-    got = sorted(map(tuple, S.repeated_passages(docs, 8, 3).collect()))
-    assert got == brute(rows, 8)
+    assert ranges(S.repeated_passages(docs, 8, 3)) == brute(rows, 8)
 
 
 def test_cut(spark):
@@ -88,8 +94,33 @@ def test_cut(spark):
     assert out == {1: rows[0][1], 2: "beta gamma", 3: None, 4: "alone"}
 
 
+def test_cut_of_one_id_with_several_texts(spark):
+    """Each text loses its own words only; equal rows, null ids, very long texts and other columns pass through."""
+    p, q = (" ".join(f"{c}{i}" for i in range(12)) for c in "pq")
+    long = " ".join(f"l{i}" for i in range(30_000))
+    rows = [(1, p), (2, p + " x"), (2, q), (2, p + " x"), (None, p), (3, long), (4, f"{long} end"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, start_word string")
+    out = S.cut_repeats(docs, S.repeated_passages(docs, 10, 4))
+    assert out.columns == docs.columns
+    want = [(1, p), (2, "x"), (2, q), (2, "x"), (None, p), (3, long), (4, "end"), (5, None), (6, "")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    none = docs.limit(0)
+    assert S.cut_repeats(none, S.repeated_passages(none)).count() == 0
+    with pytest.raises(ValueError):
+        S.cut_repeats(docs.withColumn("_cuts", docs["text"]), S.repeated_passages(docs))
+
+
+def test_one_passage_in_thousands_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_DOCS", 500)
+    rnd = random.Random(5)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(d, f"a{d} b{d} {shared} c{d} {rnd.random()}") for d in range(5000)]
+    found = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ranges(found) == [(d, 2, 62, d == 0) for d in range(5000)]
+
+
 def test_long_text_and_empty_table(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     docs = spark.createDataFrame([(1, long), (2, "x " + long), (3, "y" * 200_000)], "doc_id long, text string")
-    assert sorted(map(tuple, S.repeated_passages(docs).collect())) == [(1, 0, 60_000, True), (2, 1, 60_001, False)]
+    assert ranges(S.repeated_passages(docs)) == [(1, 0, 60_000, True), (2, 1, 60_001, False)]
     assert S.repeated_passages(docs.limit(0)).count() == 0

@@ -16,6 +16,8 @@ gives an empty table. Other columns pass through; an input column with the name
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +76,15 @@ def mix(docs: DataFrame, weights: dict | None = None, max_epochs: float = MAX_EP
     return out.select(*docs.columns, *([F.col("_copy").alias(copy_no)] if copy_no else []))
 
 
+def stepped_weights(sources: Iterable[str | None]) -> dict:
+    """Target weights of the registered query: 1.5 to the place of the source by name (modulo 20), so that the cap binds again and again."""
+    return {s: 1.5 ** (i % 20) for i, s in enumerate(sorted(set(sources), key=lambda s: (s is not None, s or "")))}
+
+
 # Closed form of the same filling: the sources in order of size / weight; those below the water level are the clamped ones.
 ORACLE_SQL = f"""
 WITH z AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS n FROM documents GROUP BY source),
-p AS (SELECT source, n, {MAX_EPOCHS} * n AS cap, 1.0::DOUBLE AS w, (SELECT sum(n) FROM z) AS budget FROM z WHERE n > 0),
+p AS (SELECT source, n, {MAX_EPOCHS} * n AS cap, pow(1.5::DOUBLE, (SELECT count(*) FROM z y WHERE y.source < z.source OR y.source IS NULL AND z.source IS NOT NULL) % 20) AS w, (SELECT sum(n) FROM z) AS budget FROM z WHERE n > 0),
 o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
              sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM p),
 l AS (SELECT max((budget - before) / rest) FILTER (WHERE (budget - before) / rest <= cap / w) AS level FROM o),

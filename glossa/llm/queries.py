@@ -28,7 +28,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.stepped_weights(r[0] for r in docs.select("source").distinct().collect()))
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule blocks URLs, or allows them if it begins with ``@@``. In its pattern ``||`` is the start of a host or of one of its
-parent domains, ``|`` the start or end of the URL, ``*`` any run of characters and ``^`` a separator or the end; ``/.../`` is a
-regular expression as it is. URLs are compared in lower case.
+parent domains, ``|`` the start or end of the URL, ``*`` any run of characters and ``^`` a separator or the end; ``/.../`` (slashes around
+the whole pattern) is a regular expression as it is. URLs are compared in lower case. Options after ``$`` speak of requests, which a
+table of URLs does not have: a rule with any raises ValueError, and so does an expression that does not compile.
 
 A token is a run of letters and digits. Each rule is filed under the one of its whole literal tokens (bounded in the
 pattern by signs that are no token's) that fewest URLs contain, counted over all URLs; a rule without one is tried on
 every URL. A URL's tokens fetch its candidate rules, and only those run their regular expressions.
 
 The counts are one aggregation over the rules' own tokens. The index is then shipped to the tasks; its size is that of the
-rule list, a parameter, and is checked against ``MAX_RULES``: beyond, rules and URL tokens meet in a join instead. URLs are filtered
-where they are read.
+rule list, a parameter, and is checked against ``MAX_RULES``: beyond, rules and URL tokens meet in a join instead, with the same
+expressions in the same engine. Rules without a token are tried on every URL, so no more than ``MAX_RULES`` of them are taken. URLs are
+filtered where they are read.
 
 Edge cases: a null URL matches nothing and is not blocked; an empty one is matched by rules of only stars; very long URLs are
 matched whole; repeated rows keep a row each; ties of token counts go to the token first in order; an allow rule that
@@ -20,6 +22,7 @@ matches outweighs all block rules; without rules nothing is blocked; an empty ta
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -28,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.llm import runtime
+
 MAX_RULES = 200_000
 TOKEN = re.compile("[a-z0-9]+")
 
-#: Rules of production use for the tables here: hosts, sections, query parameters, page kinds.
-RULES = (
+#: Kinds of rules: hosts, sections, query parameters, page kinds, expressions.
+KINDS = (
     "||tionble.example.com^",
     "||ththre.example.org^*/en/",
     "||therha.example.net^",
@@ -54,13 +59,41 @@ RULES = (
 )
 
 
+def rule_list(n: int) -> tuple[str, ...]:
+    """A list as long as those in use: the kinds above, and ``n`` rules of a site, a section and a page each."""
+    sites = [f"{a}{b}" for a in ("th", "ther", "tion", "ha", "in") for b in ("sh", "th", "ble", "re", "rin", "ring", "rha", "tion", "than", "an")]
+    tails, made = ("com", "org", "net"), []
+    for i in range(n):
+        site, tail, section = sites[i * 7 % len(sites)], tails[i % 3], ("en", "de", "fr", "es")[i // 3 % 4]
+        page = i * 613 % 200_003
+        made.append((f"||{site}.example.{tail}/{section}/{page}^", f"/{section}/{page}.html|", f"@@||example.{tail}/*/{page}?page=2^", f"||{site}.example.{tail}/{section}/{page % 1000}*#top|", f"/{section}/{page}/*")[i % 5])
+    return (*KINDS, *made)
+
+
+RULES = rule_list(2000)
+
+
+def _body(rule: str) -> tuple[str, bool, bool]:
+    """(pattern or expression, whether it is an expression, whether the rule allows)."""
+    allow = rule.startswith("@@")
+    body = rule.removeprefix("@@")
+    if len(body) > 2 and body[0] == body[-1] == "/":
+        try:
+            re.compile(body[1:-1], re.ASCII)
+        except re.error as e:
+            raise ValueError(f"rule {rule!r} is no regular expression") from e
+        return body[1:-1], True, allow
+    body, _, options = body.partition("$")
+    if options:
+        raise ValueError(f"rule {rule!r}: option {options!r} cannot be told from a URL")
+    return body.lower(), False, allow
+
+
 def rule_regex(rule: str) -> tuple[str, bool]:
     """(regular expression to search for in a lower-case URL, whether it allows)."""
-    allow = rule.startswith("@@")
-    body = rule[2:] if allow else rule
-    if len(body) > 2 and body[0] == body[-1] == "/" and body[1] == "^":
-        return body[1:-1], allow
-    body = body.removesuffix("$").lower()
+    body, plain, allow = _body(rule)
+    if plain:
+        return body, allow
     head = tail = ""
     if body.startswith("||"):
         head, body = r"^[a-z][a-z0-9+.-]*://([^/?#]*\.)?", body[2:]
@@ -74,10 +107,9 @@ def rule_regex(rule: str) -> tuple[str, bool]:
 
 def literal_tokens(rule: str) -> list[str]:
     """The tokens that every URL which the rule matches contains as whole tokens."""
-    body = rule.removeprefix("@@")
-    if len(body) > 2 and body[0] == body[-1] == "/" and body[1] == "^":
+    body, plain, _ = _body(rule)
+    if plain:
         return []
-    body = body.removesuffix("$").lower()
     out = []
     for m in TOKEN.finditer(body):
         before, after = body[: m.start()], body[m.end() :]
@@ -156,21 +188,46 @@ def url_filter(pages: DataFrame, rules: Sequence[str] = RULES, keep: tuple[str,
     return source.mapInArrow(run, schema)
 
 
+@functools.lru_cache(1 << 16)
+def _compiled(regex: str) -> re.Pattern:
+    return re.compile(regex, re.ASCII)
+
+
 def _joined(pages: DataFrame, rules: list[str], counts: dict[str, int], keep: tuple[str, ...], column: str) -> DataFrame:
     """The same for a rule list too large to ship: URL tokens and rules meet in a join."""
-    rows = []
+    rows, always = [], []
     for i, rule in enumerate(rules):
         tokens = literal_tokens(rule)
-        rows.append((min(tokens, key=lambda t: (counts.get(t, 0), t)) if tokens else "", i, *rule_regex(rule)))
-    table = pages.sparkSession.createDataFrame(rows, "_token string, _rule int, _regex string, _allow boolean")
-    numbered = pages.select(*keep, F.col(column).alias("_url"), F.monotonically_increasing_id().alias("_row"))
-    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce(F.regexp_extract_all(F.lower("_url"), F.lit("([a-z0-9]+)"), F.lit(1)), F.array().cast("array<string>"))))
-    hits = numbered.withColumn("_token", F.explode(tokens)).join(table, "_token", "left")
-    hit = F.coalesce(F.expr("lower(_url) rlike _regex"), F.lit(False))
-    named = F.array_sort(F.collect_list(F.when(hit, F.col("_rule"))))
-    allowed = F.coalesce(F.max(F.when(hit, F.col("_allow"))), F.lit(True))
-    grouped = hits.groupBy("_row", *keep).agg(named.alias("_found"), allowed.alias("_allowed"))
-    return grouped.select(*keep, ~F.col("_allowed"), F.array_join("_found", ",")).toDF(*keep, "blocked", "rules")
+        if tokens:
+            rows.append((min(tokens, key=lambda t: (counts.get(t, 0), t)), i, *rule_regex(rule)))
+        else:
+            always.append((i, *rule_regex(rule)))
+    if len(always) > max(MAX_RULES, 1000):
+        raise ValueError(f"{len(always)} rules without a literal token would be tried on every URL")
+    spark = pages.sparkSession
+    table = spark.createDataFrame(rows, "_token string, _rule int, _regex string, _allow boolean")
+    numbered = runtime.written(pages.select(*keep, F.col(column).alias("_url")).withColumn("_row", F.monotonically_increasing_id()), "urls")
+    lower = numbered.where("_url IS NOT NULL").select("_row", F.lower("_url").alias("_low"))
+    tokens = F.array_distinct(F.regexp_extract_all("_low", F.lit("([a-z0-9]+)"), F.lit(1)))
+    candidates = lower.withColumn("_token", F.explode(tokens)).join(table, "_token").select("_row", "_low", "_rule", "_regex", "_allow")
+    shared = spark.sparkContext.broadcast(always)
+    names = ["_row", "_rule", "_allow"]
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [bool(_compiled(x).search(u)) for u, x in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4)], names=names).filter(pa.array(hit, pa.bool_()))
+
+    def tried_always(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(r, i, allow) for r, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, x, allow in shared.value if _compiled(x).search(u)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.bool_()))], names=names)
+
+    schema = "_row long, _rule int, _allow boolean"
+    hits = candidates.mapInArrow(tried, schema).unionByName(lower.mapInArrow(tried_always, schema))
+    grouped = hits.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_list("_rule")), ",").alias("_found"), F.bool_or("_allow").alias("_allowed"))
+    out = numbered.join(grouped, "_row", "left")
+    return out.select(*keep, (F.col("_found").isNotNull() & ~F.coalesce("_allowed", F.lit(False))).alias("blocked"), F.coalesce("_found", F.lit("")).alias("rules"))
 
 
 def oracle_sql(rules: Sequence[str] = RULES) -> str:

@@ -23,6 +23,16 @@ def test_water_filling(sources, budget, epochs):
         assert all(share[s] / weights[s] <= max(levels) * (1 + 1e-6) + 1e-9 for s in usable)
 
 
+def test_the_query_clamps_in_several_rounds():
+    """Weights of the registered query over sources of like sizes: the cap binds, and binds again after the excess is shared."""
+    sizes = {f"src{i}": 1000 + i for i in range(20)} | {None: 900}
+    weights = M.stepped_weights(sizes)
+    share = M.water_fill(sizes, weights, sum(sizes.values()))
+    first = {s for s in sizes if weights[s] * sum(sizes.values()) / sum(weights.values()) > M.MAX_EPOCHS * sizes[s]}
+    full = {s for s in sizes if share[s] == M.MAX_EPOCHS * sizes[s]}
+    assert first and first < full and any(1 < share[s] / sizes[s] < M.MAX_EPOCHS for s in sizes) and any(share[s] < sizes[s] for s in sizes)
+
+
 def test_copies_against_brute_force(spark):
     rows = [(i, "t" * (1 + i % 5), ["big", "mid", "tiny", None][0 if i < 600 else 1 if i < 800 else 2 if i < 803 else 3]) for i in range(820)]
     rows += [(900, None, "mid"), (901, "", "mid"), (902, None, "void"), (3, "tttt", "big"), (None, "x", "mid")]

@@ -9,7 +9,7 @@ broadcast if its counted size allows and joined by host otherwise.
 
 Edge cases: a null text stays null; lines are split at newlines and compared without surrounding blanks; blank lines
 are neither counted nor dropped; null and empty hosts are one host; repeated rows count as separate pages; a page whose
-lines all go keeps its row with an empty text; an empty table gives an empty table. Other columns pass through.
+lines all go keeps its row with an empty text; an empty table gives an empty table. Other columns pass through, whatever their names.
 ``n_chars``, where present, is set to the new length (null for a null text).
 """
 
@@ -48,14 +48,14 @@ def boilerplate(pages: DataFrame, host: str = "source", max_ratio: float = MAX_R
 
 def line_dedup(pages: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The pages without their hosts' boilerplate lines."""
-    if clash := {"_host", "_drop"} & set(pages.columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
     drop = runtime.written(boilerplate(pages, host, max_ratio, min_pages), "lines")
-    keys = drop.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    side = F.broadcast(drop) if keys * 40 <= runtime.BROADCAST_BYTES else drop
-    keyed = pages.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(side, "_host", "left")
-    kept = F.array_join(F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("_drop"), line_key(x))), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
+    at, keys = runtime.fresh("_host", pages), runtime.fresh("_drop", pages)
+    total = drop.agg(F.sum(F.size("_drop"))).first()[0] or 0
+    side = drop.toDF(at, keys)
+    side = F.broadcast(side) if total * 40 <= runtime.BROADCAST_BYTES else side
+    keyed = pages.withColumn(at, F.coalesce(F.col(host), F.lit(""))).join(side, at, "left")
+    kept = F.array_join(F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col(keys), line_key(x))), "\n")
+    text = F.when(F.col(keys).isNull(), F.col("text")).otherwise(kept)
     out = keyed.withColumn("text", text)
     if "n_chars" in pages.columns:
         out = out.withColumn("n_chars", F.length("text").cast(pages.schema["n_chars"].dataType))

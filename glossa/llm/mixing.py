@@ -11,7 +11,7 @@ back as a join (broadcast behind a check of its size), and repetition is a gener
 Edge cases: a null source is a source of its own; a source without a weight (or with a null, zero or negative one) gets
 no copies; null texts have size 0, and a source of size 0 gets no copies; repeated rows have equal hashes, so they are
 taken together; ties do not arise, for documents are compared with a threshold and not with each other; an empty table
-gives an empty table. Other columns pass through; an input column with the name of the copy's number raises ValueError.
+gives an empty table. Other columns pass through, whatever their names; one with the name of the copy's number is replaced by it.
 """
 
 from __future__ import annotations
@@ -67,13 +67,13 @@ def mix(docs: DataFrame, weights: dict | None = None, max_epochs: float = MAX_EP
 
     ``weights``: target weight by source; None weighs all sources alike. ``budget``: characters; None takes the corpus's.
     """
-    if clash := {"_source", "_whole", "_below", "_copy", copy_no} & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    plan = runtime.small_side(copies(docs, weights, max_epochs, budget), 100)
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["_source"]))
-    n = F.col("_whole") + (draw(docs["doc_id"], seed) < F.col("_below")).cast("long")
-    out = joined.withColumn("_n", n).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return out.select(*docs.columns, *([F.col("_copy").alias(copy_no)] if copy_no else []))
+    kept = [c for c in docs.columns if c != copy_no]
+    source, whole, below, times, copy = (runtime.fresh(c, docs) for c in ("_source", "_whole", "_below", "_n", "_copy"))
+    plan = runtime.small_side(copies(docs, weights, max_epochs, budget).toDF(source, whole, below), 100)
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(source)))
+    n = F.col(whole) + (draw(F.col("doc_id"), seed) < F.col(below)).cast("long")
+    out = joined.withColumn(times, n).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return out.select(*kept, *([F.col(copy).alias(copy_no)] if copy_no else []))
 
 
 def stepped_weights(sources: Iterable[str | None]) -> dict:

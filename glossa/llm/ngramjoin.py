@@ -49,7 +49,7 @@ from glossa.llm.graph import components
 
 N, THRESHOLD = 3, 0.5
 SKIP_MU = 0.1
-PART_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 1 << 22, 1 << 21, 1 << 22
+PART_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 1 << 21, 1 << 20, 1 << 22
 GROUP = 2048
 HOT_SLICE, HOT_SHARE, HOT_LEAST = 64, 32, 1 << 16
 _HOT_RANK = np.int64(1) << np.int64(56)
@@ -555,8 +555,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataF
     empty texts stay; repeated rows go or stay together.
     """
     most = classes(docs, threshold, n).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("class_id").alias("_class")).where("_class < _gone")
-    gone = runtime.written(most.select("_gone"), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    name = runtime.fresh("_gone", docs)
+    gone = runtime.written(most.select(F.col("_gone").alias(name)), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = f"""

@@ -15,7 +15,7 @@ without a shuffle.
 Edge cases: null and empty texts pool to the zero vector and are scored like any other; label rows with a null in doc_id
 or label, or with a doc_id not in the documents, are not used; several labels of one doc_id count as the lowest, several texts of
 one doc_id as the one with the least pooled vector; with no usable label row, or with one class only, every probability is 1 and nothing
-is rejected. Repeated documents each keep their row. Output columns are added under the given name; an input column of that name raises ValueError.
+is rejected. Repeated documents each keep their row. The output column replaces one of its name; other columns pass through.
 """
 
 from __future__ import annotations
@@ -220,8 +220,7 @@ def fit_from(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit
 
 def scored(docs: DataFrame, model: Model, output: str = "quality_prob") -> DataFrame:
     """``docs`` with the probability of good quality added as ``output``."""
-    if output in docs.columns:
-        raise ValueError(f"the documents already have a column {output!r}")
+    docs = docs.drop(output)
     runtime.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())])

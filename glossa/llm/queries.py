@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, fingerprint, linededup, mixing, ngramjoin, quality, suffixdedup, tokenfile, topk, urlfilter
+from glossa.llm import bpe, fingerprint, linededup, mixing, ngramjoin, quality, runtime, suffixdedup, tokenfile, topk, urlfilter
+
+
+KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "labels": "doc_id"}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return runtime.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), KEYS[table])
 
 
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

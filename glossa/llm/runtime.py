@@ -48,6 +48,20 @@ def drop(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than there are cores is dealt out by ``key``; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores added until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint if the written table ``df`` has at most ``limit`` bytes by count; else the plain table."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -367,9 +367,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words:
 
 def cut_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """The documents without the words of their later copies (``first_copy`` false); white space around a cut becomes one blank."""
-    if clash := {"_cuts", "_doc", "_text"} & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    cuts = passages.where(~F.col("first_copy")).groupBy(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
+    doc, name, ranges = (runtime.fresh(c, docs) for c in ("_doc", "_text", "_cuts"))
+    cuts = passages.where(~F.col("first_copy")).groupBy(F.col("doc_id").alias(doc), F.col("text_id").alias(name)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(ranges))
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,5 +390,5 @@ def cut_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    same = (docs["doc_id"] == cuts["_doc"]) & (F.xxhash64(docs["text"]) == cuts["_text"])
-    return docs.join(cuts, same, "left").select(*docs.columns, "_cuts").mapInArrow(run, schema)
+    same = (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(name))
+    return docs.join(cuts, same, "left").select(*docs.columns, ranges).mapInArrow(run, schema)

@@ -1,5 +1,3 @@
-import pytest
-
 from glossa.llm import linededup as L
 
 
@@ -32,8 +30,8 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "same\nother", "h")] * 6, "doc_id long, text string, source string")
     assert [r.text for r in L.line_dedup(docs).collect()] == [""] * 6
     assert L.line_dedup(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        L.line_dedup(docs.withColumnRenamed("doc_id", "_drop"))
+    clash = L.line_dedup(docs.selectExpr("*", "1 AS _drop", "2 AS _host", "3 AS _pages", "'k' AS _key"))
+    assert {tuple(r) for r in clash.collect()} == {(1, "", "h", 1, 2, 3, "k")}
 
 
 def test_join_without_broadcast(spark, monkeypatch):

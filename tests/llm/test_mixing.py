@@ -58,5 +58,5 @@ def test_shares_are_met_and_edges(spark):
     counts = {r["source"]: r["count"] for r in M.mix(docs, {"a": 1, "b": 1}, 2.0).groupBy("source").count().collect()}
     assert counts["b"] == 2000 and abs(counts["a"] - 3000) < 150
     assert M.mix(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        M.mix(docs.withColumnRenamed("text", "copy_no"))
+    clash = M.mix(docs.selectExpr("*", "7 AS copy_no", "8 AS _n", "9 AS _source"))
+    assert clash.columns == ["doc_id", "text", "source", "_n", "_source", "copy_no"] and {r.copy_no for r in clash.collect()} <= {1, 2, 3, 4}

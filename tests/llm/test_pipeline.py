@@ -6,7 +6,7 @@ import corpus_pipeline
 from glossa.llm import bpe, mixing
 
 from .test_linededup import brute as lines_kept
-from .test_ngramjoin import brute as near_pairs
+from .test_ngramjoin import brute as near
 from .test_quality import made
 
 
@@ -49,15 +49,8 @@ def test_stages_against_brute_force(spark, folder):
             assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
             assert any("menu" in (r.text or "") for r in before) and after != before
         elif number == 2:
-            parent = {r.doc_id: r.doc_id for r in before}
-            for a, b in sorted(near_pairs([(r.doc_id, r.text) for r in before])):
-                x, y = a, b
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
-                parent[max(x, y)] = min(x, y)
-            assert {r.doc_id for r in after} == {d for d, p in parent.items() if d == p} and len(after) < len(before)
+            found = near([(r.doc_id, r.text) for r in before])[0]
+            assert sorted(r.doc_id for r in after) == sorted(d for d, c, _ in found if d == c) and len(after) < len(before)
         elif number == 3:
             sizes = {}
             for r in before:
@@ -78,3 +71,32 @@ def test_stages_against_brute_force(spark, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == ["doc_id", "lang", "source", "tokens", "n_tokens", "round_trip"] and out.count() > 100
+
+
+def test_stages_at_the_edges(spark, folder, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns of clashing names, and an empty table."""
+    path = folder[0]
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, None, None, None, None), (None, "some text of a few words here", "en", "a", 29), (2, "", "en", "a", 0), (3, long, "en", "a", len(long)), (4, long + " end", None, "b", None)]
+    rows += [(5, "a plain text that is there twice and then once more", "en", "b", 51)] * 2 + [(6, "a plain text that is there twice and then once more", "de", None, 51), (7, "x" * 300_000, "en", "b", 300_000)]
+    clash = ["_quality_prob", "quality_prob", "_host", "_drop", "_gone", "_source", "_whole", "_below", "_n", "_copy", "copy_no", "key_a", "sid", "root"]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.selectExpr("*", *(f"{i} AS {c}" for i, c in enumerate(clash)))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, path)
+        got = out.collect()
+        assert stage(spark, docs.limit(0), path).count() == 0
+        if number < 4:
+            assert out.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(clash))) for r in got)
+        if number == 1:
+            assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((d, t) for d, t, *_ in rows), key=str)
+        elif number == 2:
+            assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2, 3, 5, 5, 7]
+        elif number == 4:
+            assert len(got) == len(rows) and all(r.round_trip for r in got) and sum(r.n_tokens == 0 for r in got) == 2
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -159,5 +159,5 @@ def test_tables(spark):
     assert Q.scored(docs, Q.fit_from(docs, marks, max_fit_docs=250)).count() == 303
     assert Q.quality_filter(docs, marks.limit(0)).count() == 303
     assert Q.quality_filter(docs.limit(0), marks).count() == 0
-    with pytest.raises(ValueError):
-        Q.quality_filter(docs, marks, output="label")
+    named = Q.quality_filter(docs, marks, max_fit_docs=250, output="label")
+    assert named.columns == ["doc_id", "text", "label"] and {r.doc_id for r in named.collect()} == ids

@@ -106,8 +106,8 @@ def test_cut_of_one_id_with_several_texts(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
     none = docs.limit(0)
     assert S.cut_repeats(none, S.repeated_passages(none)).count() == 0
-    with pytest.raises(ValueError):
-        S.cut_repeats(docs.withColumn("_cuts", docs["text"]), S.repeated_passages(docs))
+    clash = S.cut_repeats(docs.selectExpr("*", "1 AS _cuts", "2 AS _doc", "3 AS _text"), S.repeated_passages(docs, 10, 4))
+    assert clash.columns[-3:] == ["_cuts", "_doc", "_text"] and {tuple(r)[-3:] for r in clash.collect()} == {(1, 2, 3)}
 
 
 def test_one_passage_in_thousands_of_documents(spark, monkeypatch):

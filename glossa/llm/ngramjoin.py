@@ -9,9 +9,10 @@ A cluster cannot hold the lists of a corpus in one place, so sets first go to bl
 
 1. Documents with equal sets collapse to one set with a number of members.
 2. In how many sets each n-gram stands is counted over hash parts of packed postings (4 bytes an n-gram and a share of its set's
-   key). A set of s n-grams shares at least ceil(t * s) with any partner, so of those that stand in several sets all but the
-   ceil(t * s) - 1 most frequent are its prefix: two partners have a prefix n-gram in common, and so the least set that has it,
-   its owner. Each set goes to the owners of its prefix, as its size and a bitmap in which every n-gram flips one bit.
+   key); what returns to the sets is packed likewise, 5 bytes an n-gram. A set of s n-grams shares at least ceil(t * s) with any
+   partner, so of those that stand in several sets all but the ceil(t * s) - 1 most frequent are its prefix: two partners have a
+   prefix n-gram in common, and so the least set that has it, its owner. Each set goes to the owners of its prefix, as its size and
+   a bitmap in which every n-gram flips one bit.
 3. At an owner, two sets are candidates unless their sizes or bitmaps prove them apart: the differing bits of two bitmaps are
    never more than the n-grams in which the sets differ. Of the candidate graph only a spanning forest is kept.
 4. Connected components of the forests, by alternating large-star and small-star steps on written tables, are the blocks; each
@@ -49,10 +50,11 @@ from glossa.llm.graph import components
 
 N, THRESHOLD = 3, 0.5
 SKIP_MU = 0.1
-PART_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 1 << 21, 1 << 20, 1 << 22
+PART_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 1 << 22, 1 << 20, 1 << 22
+SORT_GRAMS, ROW_GRAMS, BUCKETS = 1 << 21, 1 << 15, 4
 GROUP = 2048
 HOT_SLICE, HOT_SHARE, HOT_LEAST = 64, 32, 1 << 16
-_HOT_RANK = np.int64(1) << np.int64(56)
+_HOT_RANK = 255
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -116,6 +118,7 @@ def _sketch_rows(n: int, threshold: float):
                     rows += [(None, g, c, -1, 0, b"") for g, c in zip(gram[hot].view(np.int64).tolist(), count[hot].tolist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        runtime.release()
 
     return run
 
@@ -133,6 +136,15 @@ def hot_grams(sketches: DataFrame, n_sets: int) -> np.ndarray:
 # ---- frequencies and prefixes ---------------------------------------------------------------------------------
 
 BLOB = "part int, hot boolean, keys binary, counts binary, ids binary"
+POSTINGS = "bucket int, keys binary, counts binary, owners binary, ranks binary"
+
+
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs that begin where ``new`` is set; longer runs are cut to lengths that a byte holds."""
+    at = np.flatnonzero(new)
+    cuts = (np.diff(np.append(at, len(new))) + 254) // 255
+    start = np.repeat(at, cuts) + 255 * (np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    return start, np.diff(np.append(start, len(new))).astype(np.uint8)
 
 
 def _blob_rows(n: int, parts: int, hot: np.ndarray):
@@ -149,10 +161,9 @@ def _blob_rows(n: int, parts: int, hot: np.ndarray):
             part[is_hot] = (key[doc[is_hot]].view(np.uint64) % np.uint64(parts)).astype(np.int64) * 2 + 1
         order = np.argsort(part.astype(np.uint16) if parts < 1 << 15 else part, kind="stable")
         part, doc, low = part[order], doc[order], (g[order] & _LOW).astype(np.uint32)
-        new = np.append(True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]))
-        at = np.flatnonzero(new)
-        counts, owner, of = np.diff(np.append(at, len(part))).astype(np.uint32), key[doc[at]], part[at]
-        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        at, counts = _runs(np.append(True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])))
+        owner, of = key[doc[at]], part[at]
+        begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (at[1:] // ROW_GRAMS != at[:-1] // ROW_GRAMS)))
         end, start = np.append(begin[1:], len(of)), np.append(at, len(part))
         rows = [(int(of[b]) // 2, bool(of[b] & 1), owner[b:e].tobytes(), counts[b:e].tobytes(), low[start[b] : start[e]].tobytes()) for b, e in zip(begin.tolist(), end.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()])], names=["part", "hot", "keys", "counts", "ids"])
@@ -180,24 +191,51 @@ def _blob_rows(n: int, parts: int, hot: np.ndarray):
     return run
 
 
-def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part, the postings of n-grams in several sets, by set: their owners and ranks (frequency, then hash). Rows come sorted by part."""
+def _posting_rows(buckets: int):
+    """Of each part, the postings of n-grams in several sets, packed by the bucket of their set's key. Rows come sorted by part.
 
-    def by_set(key: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(key, kind="stable")
-        key, owner, rank = key[order], owner[order], rank[order]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(key))
-        pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist())], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.nulls(len(at), pa.int32()), pack(owner), pack(rank)], names=["key", "quota", "owners", "ranks"])
+    A posting is 5 bytes: the low half of its owner's key, and its rank, in eighths of an octave of the frequency. N-grams of a rank
+    are in the order of their owners, so those that tie lead to the same owner.
+    """
+
+    def packed(every: np.ndarray, set_no: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        bucket = every % buckets
+        place = np.empty(len(every), np.uint64)
+        place[np.argsort(bucket, kind="stable")] = np.arange(len(every), dtype=np.uint64)
+        x = place[set_no] << np.uint64(32)
+        x |= np.arange(len(x), dtype=np.uint64)
+        x.sort()
+        order = (x & _LOW).astype(np.int64)
+        set_no, owner, rank = set_no[order], owner[order], rank[order]
+        at, counts = _runs(np.append(True, set_no[1:] != set_no[:-1])[: len(set_no)])
+        key, of = every[set_no[at]], bucket[set_no[at]]
+        begin = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (at[1:] // ROW_GRAMS != at[:-1] // ROW_GRAMS))[: len(of)])
+        end, start = np.append(begin[1:], len(of)), np.append(at, len(set_no))
+        rows = [(int(of[b]), *(x.tobytes() for x in (key[b:e], counts[b:e], owner[start[b] : start[e]], rank[start[b] : start[e]]))) for b, e in zip(begin.tolist(), end.tolist())]
+        types = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["bucket", "keys", "counts", "owners", "ranks"])
 
     def solve(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         every, own = np.unique(np.concatenate([np.frombuffer(k, np.int64) for k, _, _ in rows]), return_inverse=True)
-        doc = np.repeat(own.astype(np.uint64), np.concatenate([np.frombuffer(c, np.uint32) for _, c, _ in rows]))
-        x = np.concatenate([np.frombuffer(i, np.uint32) for _, _, i in rows]).astype(np.uint64)
-        x <<= np.uint64(32)
-        x |= doc
+        own = own.astype(np.uint64)
+        x, at, head = np.empty(sum(len(i) for _, _, i in rows) // 4, np.uint64), 0, 0
+        for _, c, i in rows:
+            some = x[at : at + len(i) // 4]
+            some[:] = np.frombuffer(i, np.uint32)
+            some <<= np.uint64(32)
+            some |= np.repeat(own[head : head + len(c)], np.frombuffer(c, np.uint8))
+            at, head = at + len(some), head + len(c)
+        rows.clear()
         x.sort()
+        out, a = [], 0
+        while a < len(x):  # so many postings at a time, whole lists
+            b = int(np.searchsorted(x, x[min(a + SORT_GRAMS, len(x)) - 1] | _LOW, side="right"))
+            out.append(shared(x[a:b], every))
+            a = b
+        return packed(every, *(np.concatenate(c) for c in zip(*out)))
+
+    def shared(x: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, owner, rank) of the n-grams in several sets."""
         x = x[np.append(True, x[1:] != x[:-1])]
         gram = x >> np.uint64(32)
         at = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
@@ -205,63 +243,68 @@ def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         many = df > 1
         size = df[many]
         place = np.repeat(at[many] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        set_no = (x[place] & _LOW).astype(np.int64)
-        least = np.repeat((x[at[many]] & _LOW).astype(np.int64), size)  # sets are numbered in the order of keys
-        rank = (np.repeat(size, size) << 16) | (gram[place] & np.uint64(0xFFFF)).astype(np.int64)
-        return by_set(every[set_no], every[least], rank)
+        least = every[(x[at[many]] & _LOW).astype(np.int64)]  # sets are numbered in the order of keys
+        rank = np.minimum(8 * np.log2(size), _HOT_RANK - 1).astype(np.uint8)
+        return (x[place] & _LOW).astype(np.uint32), np.repeat((least.view(np.uint64) & _LOW).astype(np.uint32), size), np.repeat(rank, size)
 
     def echo(keys: bytes, counts: bytes, ids: bytes) -> pa.RecordBatch:
         """A hot n-gram owns itself."""
-        key = np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.uint32))
+        every, own = np.unique(np.frombuffer(keys, np.int64), return_inverse=True)
         low = np.frombuffer(ids, np.uint32)
-        return by_set(key, textops.mix(low.astype(np.uint64)).view(np.int64), _HOT_RANK | low.astype(np.int64))
+        owner = (textops.mix(low.astype(np.uint64)) & _LOW).astype(np.uint32)
+        return packed(every, np.repeat(own, np.frombuffer(counts, np.uint8)), owner, np.full(len(low), _HOT_RANK, np.uint8))
 
-    rows, last = [], None
-    for batch in batches:
-        for part, hot, keys, counts, ids in zip(*(c.to_pylist() for c in batch.columns)):
-            if hot:
-                yield echo(keys, counts, ids)
-                continue
-            if part != last and rows:
-                yield solve(rows)
-                rows = []
-            last = part
-            rows.append((keys, counts, ids))
-    if rows:
-        yield solve(rows)
-    runtime.release()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last = [], None
+        for batch in batches:
+            for part, hot, keys, counts, ids in zip(*batch.columns):
+                if hot.as_py():
+                    yield echo(keys.as_py(), counts.as_py(), ids.as_py())
+                    continue
+                if part.as_py() != last and rows:
+                    yield solve(rows)
+                last = part.as_py()
+                rows.append((keys.as_py(), counts.as_py(), ids.as_py()))
+        if rows:
+            yield solve(rows)
+        runtime.release()
+
+    return run
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(owner, key)``: the owners of each set's prefix. Rows (key, quota, owners, ranks) come sorted by key."""
+    """``(owner, key)``: the owners of each set's prefix. Rows (bucket, key, quota, and packed postings) come sorted by bucket."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        key = table.column(0).to_numpy()
-        quota = table.column(1).fill_null(1 << 30).to_numpy()
-        owners, ranks = table.column(2).to_pylist(), table.column(3).to_pylist()
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        number = np.cumsum(np.append(0, key[1:] != key[:-1]))
-        aside = np.maximum(np.minimum.reduceat(quota, at), 0)
-        size = np.array([0 if o is None else len(o) // 8 for o in owners])
-        of = np.repeat(number, size)
-        owner = np.frombuffer(b"".join(o for o in owners if o), np.int64)
-        rank = np.frombuffer(b"".join(r for r in ranks if r), np.int64)
+        keys, counts, owners, ranks = (np.frombuffer(b"".join(x for x in table.column(i).to_pylist() if x), t) for i, t in ((3, np.int64), (4, np.uint8), (5, np.uint32), (6, np.uint8)))
+        every, number = np.unique(keys, return_inverse=True)
+        known = table.filter(table.column(1).is_valid())
+        key, quota = known.column(1).to_numpy(), known.column(2).to_numpy()
+        place = np.searchsorted(every, key)
+        some = every[np.minimum(place, len(every) - 1)] == key if len(every) else np.zeros(len(key), bool)
+        aside = np.full(len(every), 1 << 30)
+        np.minimum.at(aside, place[some], quota[some])
+        aside = np.maximum(aside, 0)
+        of, owner = np.repeat(number, counts), owners.astype(np.int64)
+        rank = ranks.astype(np.int64) << 32 | owner
         order = np.lexsort((-rank, of))
         of, owner, rank = of[order], owner[order], rank[order]
-        total = np.bincount(of, minlength=len(at))
+        total = np.bincount(of, minlength=len(every))
         begin = np.cumsum(total) - total
         some = total > aside
-        most = np.full(len(at), -1, np.int64)
+        most = np.full(len(every), -1, np.int64)
         most[some] = rank[(begin + aside)[some]]
         keep = rank <= most[of]  # all that tie with the first one kept
         of, owner = of[keep], owner[keep]
         order = np.lexsort((owner, of))
         of, owner = of[order], owner[order]
         once = np.append(True, (of[1:] != of[:-1]) | (owner[1:] != owner[:-1]))[: len(of)]
-        return pa.RecordBatch.from_arrays([pa.array(owner[once]), pa.array(key[at][of[once]])], names=["owner", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(owner[once]), pa.array(every[of[once]])], names=["owner", "key"])
 
     for table in _whole_groups(batches, 1):
         yield solve(table)
+    table = None
+    runtime.release()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
@@ -288,12 +331,13 @@ def _owned(texts: DataFrame, sketches: DataFrame, sets: DataFrame, n: int) -> Da
     n_sets, grams = sets.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     hot, parts = hot_grams(sketches, n_sets), grams // PART_GRAMS + 1
     blobs = texts.select("text").mapInArrow(_blob_rows(n, parts, hot), BLOB)
-    gathered = blobs.repartition(2 * parts, F.when(F.col("hot"), F.col("part") + F.lit(1 << 30)).otherwise(F.col("part"))).sortWithinPartitions("part", "hot")
-    postings = gathered.mapInArrow(_posting_rows, "key long, quota int, owners binary, ranks binary")
-    none = F.lit(None).cast("binary")
-    quotas = sets.select(F.col("key_a").alias("key"), "quota", none.alias("owners"), none.alias("ranks"))
-    by_key = postings.unionByName(quotas).repartition("key").sortWithinPartitions("key")
-    return runtime.written(by_key.mapInArrow(_prefix_rows, "owner long, key long"), "owned")
+    # a task for each part: by hash, some tasks would get several
+    gathered = blobs.repartitionById(2 * parts, 2 * F.col("part") + F.col("hot").cast("int")).sortWithinPartitions("part", "hot")
+    buckets = BUCKETS * parts
+    postings = gathered.mapInArrow(_posting_rows(buckets), POSTINGS)
+    quotas = sets.select(F.pmod("key_a", F.lit(buckets)).cast("int").alias("bucket"), F.col("key_a").alias("key"), "quota")
+    by_set = quotas.unionByName(postings, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket")
+    return runtime.written(by_set.mapInArrow(_prefix_rows, "owner long, key long"), "owned")
 
 
 # ---- candidates -----------------------------------------------------------------------------------------------
@@ -368,14 +412,16 @@ def _edge_rows(threshold: float):
                     out += candidate_edges(key[a:b], size[a:b], bits[a:b], own[a:b], bool(low[a] != high[a]), threshold)
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        runtime.release()
 
     return run
 
 
-def _edges(owned: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _edges(owned: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     counts = owned.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / GROUP).cast("int")
-    shared = owned.join(counts, "owner").join(sets.select(F.col("key_a").alias("key"), "size", "bits"), "key")
+    bits = sketches.where("size > 0").select(F.col("key_a").alias("key"), "size", "bits").dropDuplicates(["key"])
+    shared = owned.join(counts, "owner").join(bits, "key")
     cut = shared.withColumn("own", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     cut = cut.select("owner", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "size", "bits")
     groups = cut.repartition("owner", "low", "high").sortWithinPartitions("owner", "low", "high")
@@ -451,6 +497,8 @@ def _block_rows(solve: Callable[[np.ndarray, np.ndarray, np.ndarray, bool, list[
         rows += finish(block, last[1] != last[2]) if block else []
         for at in range(0, len(rows), 50_000):
             yield batch_of(rows[at : at + 50_000])
+        block = rows = None
+        runtime.release()
 
     return run
 
@@ -471,6 +519,7 @@ def _blocks(texts: DataFrame, sets: DataFrame, roots: DataFrame, n: int) -> tupl
             right = pa.array([len(s) > 0 and set_key(s).tolist() == [x, y] for s, x, y in zip(sets, a, b)])
             whole = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], names=names)
             yield whole.filter(right)
+        runtime.release()
 
     side = runtime.small_side(plan, 56)  # without a shuffle of the texts while the list of documents is small
     sets = texts.join(side, "doc_id").select("root", "parts", "sid", "n", "key_a", "key_b", "text").mapInArrow(full, "root long, parts int, sid long, n long, grams binary")
@@ -488,11 +537,11 @@ def _prepared(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     sketches = runtime.written(texts.mapInArrow(_sketch_rows(n, threshold), SKETCH), "sketches")
     nodes = sketches.where("size >= 0").select("doc_id", "key_a", "key_b", "size")
-    one = sketches.where("size > 0").groupBy("key_a", "key_b")
-    sets = one.agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("n"), F.first("size").alias("size"), F.first("quota").alias("quota"), F.first("bits").alias("bits"))
+    one = sketches.where("size > 0").select("key_a", "key_b", "doc_id", "size", "quota").repartition("key_a", "key_b").distinct()
+    sets = one.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("quota").alias("quota"))
     sets = runtime.written(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     owned = _owned(texts.where("text IS NOT NULL"), sketches, sets, n)
-    roots = runtime.written(components(_edges(owned, sets, threshold)), "roots")
+    roots = runtime.written(components(_edges(owned, sketches, threshold)), "roots")
     runtime.drop(owned)
     blocks, is_cut = _blocks(texts.where("text IS NOT NULL"), sets, roots, n)
     return nodes, sets, blocks, is_cut

@@ -113,6 +113,35 @@ def test_hot_keys_are_cut(spark, monkeypatch):
     assert found(docs) == want == brute(rows)[0]
 
 
+def test_lists_sorted_piece_by_piece(spark, monkeypatch):
+    rows = corpus(9)
+    for name, value in (("SORT_GRAMS", 50), ("PART_GRAMS", 3000), ("BUCKETS", 7)):
+        monkeypatch.setattr(J, name, value)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)[0]
+
+
+def shuffled(spark, after=-1):
+    """(bytes written to shuffles by the stages after this one, the last stage)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    each = [(s.stageId(), s.shuffleWriteBytes()) for s in map(stages.apply, range(stages.size()))]
+    return sum(n for k, n in each if k > after), max((k for k, _ in each), default=-1)
+
+
+def test_postings_are_packed_in_many_parts(spark, monkeypatch):
+    """A third of all n-grams stand in two documents: few bytes an n-gram are shuffled, with many parts a document too."""
+    rnd = random.Random(11)
+    pool = [" ".join(f"s{i}x{j}" for j in range(10)) for i in range(9000)] * 2
+    rnd.shuffle(pool)
+    rows = [(d, " ".join(f"{' '.join(f'd{d}x{k}x{j}' for j in range(15))} {pool[12 * d + k]}" for k in range(12))) for d in range(1500)]
+    monkeypatch.setattr(J, "PART_GRAMS", 1 << 14)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    _, last = shuffled(spark)
+    assert found(docs) == sorted((d, d, 0) for d, _ in rows)
+    assert shuffled(spark, last)[0] < 10 * sum(len(t.split()) - 2 for _, t in rows)
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.5])
 def test_links_at_the_very_threshold(spark, threshold):
     rows, size = [], 1000

@@ -8,7 +8,7 @@ looking back, and after an edit is recomputed only until it agrees with the old
 Texts are first cut into pieces as the vocabulary's pattern has it (contractions, letters, numbers, other signs, each
 with one space before it, and white space). Cutting and hashing are numpy passes over code points (``textops``); each
 task encodes a distinct piece once and assembles the documents' ids by gathering; pieces are found by hash and told by their
-characters. No shuffle; tables stay in the task.
+characters. No shuffle; tables stay in the task, and a worker that waits for its next task keeps the first ``KEPT_PIECES`` of them.
 
 Edge cases: null and empty texts have no tokens and count as decoded right; very long texts and very long pieces are
 encoded whole, in time linear in their length; repeated documents each keep their row; an empty table gives an empty table;
@@ -31,6 +31,8 @@ from glossa.llm import runtime, textops
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MEMO_PIECES, MEMO_POINTS, MEMO_PAIRS = 1 << 20, 1 << 25, 1 << 17
+KEPT_PIECES, KEPT_POINTS = 1 << 17, 1 << 21
+ENCODE_ROWS = 512
 _APOSTROPHE = ord("'")
 
 
@@ -248,6 +250,16 @@ class Encoder:
         # the code points of each slot's piece: a hash finds a piece, only its code points tell that it is the same
         self.length, self.begin, self.points = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def rest(self) -> None:
+        """Keeps the pieces met first, which have most of the frequent ones: a worker without a task holds its memory beside busy ones."""
+        n = min(KEPT_PIECES, int(np.searchsorted(self.begin + self.length, KEPT_POINTS, side="right")))
+        if n >= len(self.size):
+            return
+        old = self.slots < n
+        self.keys, self.slots = self.keys[old], self.slots[old]
+        self.flat, self.points = self.flat[: self.start[n]].copy(), self.points[: self.begin[n]].copy()
+        self.size, self.start, self.length, self.begin = (x[:n].copy() for x in (self.size, self.start, self.length, self.begin))
+
     def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the known keys, whether it is one)."""
         if not len(self.keys):
@@ -364,16 +376,21 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, ...]
     at, schema = source.columns.index("text"), T.StructType([*(source.schema[c] for c in keep), *added])
     columns = [source.columns.index(c) for c in keep]
 
+    def encoded(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(at).to_pylist()]
+        ids, first = encoder.encode(texts)
+        out = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), pa.array(np.diff(first))]
+        if check:
+            back = encoder.decode(ids, first)
+            out.append(pa.array([b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts)], pa.bool_()))
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), *out], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(ranks.value)
-        for batch in runtime.parts(batches, 2048):
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            ids, first = encoder.encode(texts)
-            out = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)), pa.array(np.diff(first))]
-            if check:
-                back = encoder.decode(ids, first)
-                out.append(pa.array([b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), *out], names=schema.names)
+        for batch in runtime.parts(batches, ENCODE_ROWS):
+            yield encoded(encoder, batch)
+        batch = None
+        encoder.rest()
         runtime.release()
 
     return source.mapInArrow(run, schema)

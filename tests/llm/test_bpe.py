@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,6 +92,48 @@ def test_memo_starts_anew(encoder, monkeypatch):
     assert encoder.encode(["one two three"])[0].tolist() == before and encoder.encode(["four"])[0].size
 
 
+def test_a_worker_at_rest_holds_little(spark, monkeypatch):
+    """Of a task's many pieces few stay in the worker, and with them as without, texts are encoded alike."""
+    tasks, docs = [], spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 1000, raising=False)
+    monkeypatch.setattr(bpe, "_encoders", {})
+    bpe.encode(docs)
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(1500)]
+
+    def run():
+        rows = [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]
+        return [r for b in tasks[0](iter(rows)) for r in b.to_pylist()]
+
+    def held():
+        (encoder,) = bpe._encoders.values()
+        return sum(a.nbytes for a in vars(encoder).values() if isinstance(a, np.ndarray))
+
+    first = run()
+    assert 0 < held() < 200_000
+    assert run() == first and held() < 200_000
+    model = bpe.Bpe(RANKS)
+    assert [r["doc_id"] for r in first] == [*range(1500)] and all(r["round_trip"] and model.decode(r["tokens"]).decode() == texts[r["doc_id"]] for r in first)
+
+
+def test_pieces_with_one_hash_at_rest(encoder, monkeypatch):
+    """What stays at rest is still told by its characters, where pieces collide and where the longest ones do not fit."""
+    rnd, right = random.Random(6), bpe.textops.run_hash
+    texts = ["".join(rnd.choice("abst  \n0١é!") for _ in range(rnd.randrange(40))) for _ in range(300)]
+    want = encoder.encode(texts)
+    monkeypatch.setattr(bpe.textops, "run_hash", lambda *a: right(*a) & 63)
+    weak = bpe.Encoder(RANKS)
+    for pieces, points in ((20, 1 << 20), (1 << 20, 30), (0, 0)):
+        monkeypatch.setattr(bpe, "KEPT_PIECES", pieces, raising=False)
+        monkeypatch.setattr(bpe, "KEPT_POINTS", points, raising=False)
+        weak.encode(texts[::-1])
+        weak.rest()
+        assert len(weak.keys) <= pieces and len(weak.points) <= points
+        got = weak.encode(texts)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_tables(spark):
     rows = [(1, "the end", "x"), (1, "the end", "x"), (2, None, None), (None, "", "y"), (3, "w" * 50_000 + " é\n", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
